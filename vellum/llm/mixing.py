@@ -118,6 +118,7 @@ def _meeting_rates(copies: DataFrame, wanted: dict[str, int]) -> dict[str, float
     low, high = dict.fromkeys(wanted, 0.0), dict.fromkeys(wanted, MOST_RATE)
     below = dict.fromkeys(wanted, 0)  # tokens drawn at the rate low
     rates = dict.fromkeys(wanted, MOST_RATE)
+    open_ = set(wanted)
     for _ in range(REFINEMENTS):
         at = lambda of: F.create_map(*[x for s in wanted for x in (F.lit(s), F.lit(of[s]))])[F.col("source")]
         width = (at(high) - at(low)) / BINS
@@ -128,7 +129,7 @@ def _meeting_rates(copies: DataFrame, wanted: dict[str, int]) -> dict[str, float
             .orderBy("source", "bin")
             .collect()
         )
-        for s, aim in wanted.items():
+        for s, aim in [(s, wanted[s]) for s in sorted(open_)]:
             width_s, start = (high[s] - low[s]) / BINS, low[s]
             for r in sums:
                 if r.source != s:
@@ -139,6 +140,8 @@ def _meeting_rates(copies: DataFrame, wanted: dict[str, int]) -> dict[str, float
                     rates[s] = high[s] if nearer else low[s]
                     break
                 below[s] += r.t
+            else:  # all its copies together don't exceed what is wanted, or the bin is a single rate
+                open_.discard(s)
     return rates
 
 
