@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, components, mixing
+from vellum.llm import bpe, charforms, components, mixing
 from vellum.session import materialize
 from vellum.sources.tables import table
 
@@ -13,6 +13,31 @@ from vellum.sources.tables import table
 CONFIRMING = ["confirmed", "confirmed_tenure", "confirmed_wikidata"]
 
 
+#: Table, key and field of the values that problem 4 compares.
+P4_FIELDS = [
+    ("production_entry_credit", "credit_id", "name_printed"),
+    ("production_entry", "production_entry_id", "title"),
+    ("review_mention", "mention_id", "surface"),
+]
+
+
+def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value of the three fields with its consistent form."""
+    parts = [
+        table(spark, folder, name, key, field).select(
+            F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_id"), F.col(field).alias("value")
+        )
+        for name, key, field in P4_FIELDS
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("value is not null and record_id is not null")
+    return rows.withColumn("form", charforms.consistent(F.col("value")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records whose value isn't in the consistent form."""
+    return p4_forms(spark, folder).where("form <> value").select("table_name", "record_id").distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every person in a group of two or more, with the group's smallest id."""
     pairs = table(spark, folder, "person_candidate", "person_id_1", "person_id_2", "status")
@@ -41,7 +66,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_report(materialize(p8_mixture(spark, folder)), table(spark, folder, "mix_target"))
 
 
-QUERIES = {"p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 _STATES = ", ".join(f"'{s}'" for s in CONFIRMING)
 
