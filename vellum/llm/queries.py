@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, charforms, components, mixing
+from vellum.llm import bpe, canonical_list, charforms, components, mixing
 from vellum.session import materialize
 from vellum.sources.tables import table
 
@@ -13,6 +13,17 @@ from vellum.sources.tables import table
 CONFIRMING = ["confirmed", "confirmed_tenure", "confirmed_wikidata"]
 
 
+def p1_mapped(spark: SparkSession, folder: str) -> DataFrame:
+    """Every typed title with its work or ``none``, and the score of the match."""
+    typed = table(spark, folder, "same_title_works", "same_title_id", "verbatim_title", "work_key")
+    return canonical_list.map_titles(typed, table(spark, folder, "research_work"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The work meant by each typed title, or the string none."""
+    return p1_mapped(spark, folder).select("same_title_id", "work_id")
+
+
 #: Table, key and field of the values that problem 4 compares.
 P4_FIELDS = [
     ("production_entry_credit", "credit_id", "name_printed"),
@@ -66,7 +77,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_report(materialize(p8_mixture(spark, folder)), table(spark, folder, "mix_target"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 _STATES = ", ".join(f"'{s}'" for s in CONFIRMING)
 
