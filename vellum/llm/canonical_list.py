@@ -13,6 +13,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +27,17 @@ CARRIER_WORDS = [
     "балет", "бал", "опера", "оп", "драма", "др", "комедия", "ком", "дивертисм", "дивертисмент", "феерия", "сцена", "сцены",
     "актъ", "акт", "действие", "картина", "карт", "отрывок", "из", "въ", "первый", "раз", "новая", "пост", "постановка", "разъ", "изъ",
 ]
+_WORD = regex.compile(r"\p{L}+\.?")
 #: Shortest token that is compared; shorter ones are particles and articles.
 SHORTEST = 3
 #: Soft TF-IDF that an entry must reach at least.
 LEAST_SCORE = 0.75
+#: A token typed this often, and at least this share as often as a word of the list
+#: near it, is a word of its own and no slip.
+OWN_COUNT, OWN_SHARE = 3, 0.1
+#: Edits by which a value may differ from an entry when a slip moved or lost a blank
+#: (letters only, in order), and the share of its letters they may be.
+WHOLE_EDITS, WHOLE_SHARE = 3, 0.2
 
 
 def fold(text: Column) -> Column:
@@ -113,11 +121,18 @@ def repair_tokens(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
     parts = halves.select(F.col("part").alias("token"), F.col("part").alias("bare"), F.lit(False).alias("cut")).distinct()
     known = _near(parts, surfaces.where("not short"), most=1).select(F.col("token").alias("part"), "word", "sim")
     both = halves.join(known, "part").withColumn("sides", F.size(F.collect_set("side").over(Window.partitionBy("token", "at"))))
-    glued = both.where("sides = 2").select("token", "word", (F.col("sim") * 0.95).alias("sim"), F.lit(True).alias("half"))
+    # both halves, or one whole word of which the other half is then judged by its letters
+    glued = both.where("sides = 2 or sim = 1").select("token", "word", (F.col("sim") * 0.95).alias("sim"), F.lit(True).alias("half"))
     found = exact.unionByName(near.withColumn("half", F.lit(False))).unionByName(glued)
     return found.groupBy("token", "word").agg(F.max("sim").alias("sim"), F.max("half").alias("half"))
 
 
+def _letters(folded: str | None, carrying: list[str] | None) -> str:
+    """The letters of a folded value in order, without its carrying words."""
+    skip = set(carrying or [])
+    return "".join(w.rstrip(".") for w in _WORD.findall(folded or "") if w not in skip)
+
+
 def _near(base: DataFrame, surfaces: DataFrame, most: int = 2) -> DataFrame:
     depth = F.least(allowed(F.length("bare")), F.lit(most))
     left = base.select("token", "bare", "cut", depth.alias("depth"), F.explode(deletions(F.col("bare"), depth)).alias("key"))
@@ -131,6 +146,16 @@ def _near(base: DataFrame, surfaces: DataFrame, most: int = 2) -> DataFrame:
     return good.groupBy("token", "word").agg(F.max(sim).alias("sim"))
 
 
+def _own_words(repairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Repairs without those of tokens that are words of their own."""
+    used = parts.groupBy(F.rtrim("token", F.lit(".")).alias("bare")).agg(F.count("*").alias("used"))
+    used = materialize(used)
+    bare = repairs.withColumn("bare", F.rtrim("token", F.lit(".")))
+    counted = bare.join(used, "bare", "left").join(used.select(F.col("bare").alias("word"), F.col("used").alias("word_used")), "word", "left")
+    own = (F.col("sim") < 1) & ~F.col("token").endswith(".") & (F.col("used") >= OWN_COUNT)
+    return counted.where(~(own & (F.col("used") >= OWN_SHARE * F.coalesce("word_used", F.lit(0))))).drop("bare", "used", "word_used")
+
+
 def match_entries(values: DataFrame, value: str, entries: DataFrame, entry: str, carriers: list[str] | None = None) -> DataFrame:
     """Best entries of the list for every distinct value: (value, entry, score).
 
@@ -138,7 +163,7 @@ def match_entries(values: DataFrame, value: str, entries: DataFrame, entry: str,
     entries are given; values that match none are absent. Both columns may repeat.
     """
     spark = values.sparkSession
-    typed = values.select(F.col(value).alias("value")).where("value is not null").distinct()
+    typed = values.groupBy(F.col(value).alias("value")).count().where("value is not null")
     typed = materialize(typed.withColumn("folded", fold(F.col("value"))))
     listed = entries.select(F.col(entry).alias("entry")).where("entry is not null").distinct()
     listed = materialize(listed.withColumn("t", F.array_distinct(tokens(fold(F.col("entry"))))))
@@ -153,7 +178,7 @@ def match_entries(values: DataFrame, value: str, entries: DataFrame, entry: str,
         .unionByName(carrying.join(weights, "word", "left_anti").withColumn("carrier", F.lit(True)))
     )
     parts = materialize(typed.select("folded", F.posexplode(tokens(F.col("folded"))).alias("at", "token")).distinct())
-    repairs = repair_tokens(parts.select("token"), vocabulary.select("word")).join(lookup(vocabulary), "word")
+    repairs = _own_words(repair_tokens(parts.select("token"), vocabulary.select("word")), parts).join(lookup(vocabulary), "word")
     best = F.max(F.struct("sim", (~F.col("carrier")).alias("own"))).over(Window.partitionBy("token"))
     # a token that is nearest to a carrying word carries
     repairs = materialize(repairs.withColumn("best", best).withColumn("carries", ~F.col("best.own")).drop("best"))
@@ -182,12 +207,22 @@ def match_entries(values: DataFrame, value: str, entries: DataFrame, entry: str,
         F.count("*").alias("m_entry"),
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("m_value"),
     )
-    ranked = (
+    ranked = materialize(
         scored.join(lookup(entry_norm), "entry")
         .join(value_norm, "folded")
         .withColumn("score", F.col("dot") / F.sqrt(F.col("sq_entry") * F.greatest("sq", "sq_entry")))
-        .where((F.col("m_entry") == F.col("n_entry")) & (F.col("m_value") == F.col("n_value")) & (F.col("score") >= LEAST_SCORE))
     )
+    covered = ranked.where((F.col("m_entry") == F.col("n_entry")) & (F.col("m_value") == F.col("n_value")) & (F.col("score") >= LEAST_SCORE))
+    # values with a moved or lost blank: the letters decide, without carrying words
+    left = ranked.join(covered.select("folded").distinct(), "folded", "left_anti").select("folded", "entry", "score")
+    bare = F.udf(_letters, T.StringType())
+    carried = repairs.where("carries").select("token").distinct()
+    said = parts.join(lookup(carried), "token", "left_semi").groupBy("folded").agg(F.collect_set("token").alias("carrying"))
+    near = left.join(said, "folded", "left").withColumn("a", bare("folded", "carrying")).withColumn("b", bare(fold(F.col("entry")), F.array().cast("array<string>")))
+    most = F.least(F.lit(WHOLE_EDITS), F.floor(F.length("b") * WHOLE_SHARE))
+    slips = near.where(F.levenshtein("a", "b", 2 * WHOLE_EDITS) >= 0).withColumn("d", edit_distance(F.col("a"), F.col("b"))).where(F.col("d") <= most)
+    slips = slips.withColumn("score", F.lit(LEAST_SCORE) - F.col("d") * 0.01).select("folded", "entry", "score")
+    ranked = covered.select("folded", "entry", "score").unionByName(slips)
     top = ranked.withColumn("most", F.max("score").over(Window.partitionBy("folded"))).where("score >= most - 1e-9")
     return typed.join(top.select("folded", "entry", "score"), "folded").select("value", "entry", "score")
 
