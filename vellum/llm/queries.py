@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, canonical_list, charforms, components, mixing
+from vellum.llm import bpe, canonical_list, charforms, components, mixing, name_links
 from vellum.session import materialize
 from vellum.sources.tables import table
 
@@ -24,6 +24,21 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_mapped(spark, folder).select("same_title_id", "work_id")
 
 
+def p3_persons(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling of the three fields with the person it is attributed to."""
+    parts = [
+        table(spark, folder, "production_entry_credit", "credit_id", "name_printed").distinct().select(F.col("name_printed").alias("name")),
+        table(spark, folder, "review_credit", "credit_id", "name_surface").distinct().select(F.col("name_surface").alias("name")),
+        table(spark, folder, "person_candidate", "person_id_1", "display_1").distinct().select(F.col("display_1").alias("name")),
+    ]
+    return name_links.attribute_names(parts[0].unionByName(parts[1]).unionByName(parts[2]), "name")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of different spellings that name the same person."""
+    return name_links.spelling_pairs(p3_persons(spark, folder))
+
+
 #: Table, key and field of the values that problem 4 compares.
 P4_FIELDS = [
     ("production_entry_credit", "credit_id", "name_printed"),
@@ -77,7 +92,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_report(materialize(p8_mixture(spark, folder)), table(spark, folder, "mix_target"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p3_found": p3_found, "p3_persons": p3_persons, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 _STATES = ", ".join(f"'{s}'" for s in CONFIRMING)
 
