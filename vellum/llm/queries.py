@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, canonical_list, charforms, components, mixing, name_links
+from vellum.llm import bpe, canonical_list, charforms, components, mixing, name_links, scan_repair
 from vellum.session import materialize
 from vellum.sources.tables import table
 
@@ -24,6 +24,29 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_mapped(spark, folder).select("same_title_id", "work_id")
 
 
+def _passage_noise(spark: SparkSession, folder: str) -> scan_repair.Repairs:
+    passages = table(spark, folder, "review_passage", "block_id", "block_type", "text", "caption_text")
+    fields = passages.select(
+        "block_id",
+        (F.col("block_type") == "heading").alias("heading"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("text").alias("field_name"), F.col("text").alias("value")),
+                F.struct(F.lit("caption_text").alias("field_name"), F.col("caption_text").alias("value")),
+            )
+        ).alias("f"),
+    ).select("block_id", "heading", "f.*")
+    names = table(spark, folder, "production_entry_credit", "name_printed").select(F.col("name_printed").alias("name")).unionByName(
+        table(spark, folder, "review_credit", "name_surface").select(F.col("name_surface").alias("name"))
+    )
+    return scan_repair.find_noise(fields, ["block_id", "field_name"], "value", "heading", names)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of noise that each field of a passage holds."""
+    return scan_repair.noise_kinds(_passage_noise(spark, folder))
+
+
 def p3_persons(spark: SparkSession, folder: str) -> DataFrame:
     """Every spelling of the three fields with the person it is attributed to."""
     parts = [
@@ -92,7 +115,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_report(materialize(p8_mixture(spark, folder)), table(spark, folder, "mix_target"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p3_found": p3_found, "p3_persons": p3_persons, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p2_found": p2_found, "p3_found": p3_found, "p3_persons": p3_persons, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 _STATES = ", ".join(f"'{s}'" for s in CONFIRMING)
 
