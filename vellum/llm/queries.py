@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, canonical_list, charforms, components, mixing, name_links, scan_repair
+from vellum.llm import bpe, canonical_list, charforms, components, mixing, name_links, pii, scan_repair
 from vellum.session import materialize
 from vellum.sources.tables import table
 
@@ -47,6 +47,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return scan_repair.noise_kinds(_passage_noise(spark, folder))
 
 
+def p2_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text and caption as a continuous, corrected paragraph."""
+    return scan_repair.repaired(_passage_noise(spark, folder))
+
+
 def p3_persons(spark: SparkSession, folder: str) -> DataFrame:
     """Every spelling of the three fields with the person it is attributed to."""
     parts = [
@@ -115,7 +120,17 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_report(materialize(p8_mixture(spark, folder)), table(spark, folder, "mix_target"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p2_found": p2_found, "p3_found": p3_found, "p3_persons": p3_persons, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal information in every document."""
+    return pii.find_personal(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p9_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with typed placeholders."""
+    return pii.redact(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_mapped": p1_mapped, "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_persons": p3_persons, "p4_found": p4_found, "p4_forms": p4_forms, "p5_found": p5_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 _STATES = ", ".join(f"'{s}'" for s in CONFIRMING)
 
