@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that hold QUERIES and ORACLE.
-MODULES = ["periods", "relational"]
+MODULES = ["sequences", "periods", "relational", "entities", "texts"]
 
 
 def collect() -> tuple[dict, dict]:

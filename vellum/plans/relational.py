@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import minor_units
+from vellum.functions.text import minor_units, words
 from vellum.operators import aggregates as A
 from vellum.operators import matching as M
 from vellum.operators import rules as R
@@ -168,7 +168,7 @@ def tiered_title_match(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def greedy_claim(spark: SparkSession, d: str) -> DataFrame:
     """Open and finished orders of one month paired best first."""
-    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice").withColumn("group", F.concat_ws("|", F.date_format("o_orderdate", "yyyy-MM"), F.col("o_custkey") % 5))
+    o = table(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice").withColumn("group", F.concat_ws("|", F.date_format("o_orderdate", "yyyy-MM"), "o_orderpriority"))
     a = o.where("o_orderstatus = 'O'").select("group", F.col("o_orderkey").alias("l"), F.floor(F.col("o_totalprice") / 20000).alias("b"), F.col("o_totalprice").alias("pa"))
     b = o.where("o_orderstatus = 'F'").select("group", F.col("o_orderkey").alias("r"), F.floor(F.col("o_totalprice") / 20000).alias("b"), F.col("o_totalprice").alias("pb"))
     pairs = a.join(b, ["group", "b"]).withColumn("score", F.round(1 - F.abs(F.col("pa") - F.col("pb")) / F.greatest("pa", "pb"), 6))
@@ -260,18 +260,16 @@ def sample_union_vote(spark: SparkSession, d: str) -> DataFrame:
     return v.withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "content", "corroborated")
 
 
-@query("""WITH t AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-zа-яѣіѳѵё]+')) AS w FROM documents WHERE source IN ('obituary', 'catalogue_card')),
-g AS (SELECT doc_id % 10 AS k, source, w, count(*) AS n FROM t GROUP BY 1, 2, 3), a AS (SELECT * FROM g WHERE source = 'obituary'), b AS (SELECT * FROM g WHERE source = 'catalogue_card'),
+@query("""WITH t AS (SELECT lang, source, unnest(regexp_extract_all(lower(text), '[a-zа-яѣіѳѵё]+')) AS w FROM documents WHERE lang IS NOT NULL AND source IN ('obituary', 'premiere_notice')),
+g AS (SELECT lang AS k, source, w, count(*) AS n FROM t GROUP BY 1, 2, 3), a AS (SELECT k, w, n FROM g WHERE source = 'obituary'), b AS (SELECT k, w, n FROM g WHERE source = 'premiere_notice'),
 j AS (SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL JOIN b ON a.k = b.k AND a.w = b.w)
 SELECT k, CAST(sum(x) AS BIGINT) AS n_left, CAST(sum(y) AS BIGINT) AS n_right, CAST(sum(least(x, y)) AS BIGINT) AS n_both,
 CASE WHEN sum(y) > 0 THEN round(sum(least(x, y)) / sum(y), 6) END AS prec, CASE WHEN sum(x) > 0 THEN round(sum(least(x, y)) / sum(x), 6) END AS rec FROM j GROUP BY 1""")
 def bag_precision_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Word bags of two sources compared, per last digit of the document."""
-    from vellum.functions.text import words
-
-    t = table(spark, d, "documents", "doc_id", "source", "text").where("source in ('obituary', 'catalogue_card')")
-    w = t.select((F.col("doc_id") % 10).alias("k"), "source", F.explode(words(F.col("text"))).alias("w"))
-    return A.bag_overlap(w.where("source = 'obituary'"), w.where("source = 'catalogue_card'"), "k", "w")
+    """Word bags of two sources compared, per language."""
+    t = table(spark, d, "documents", "lang", "source", "text").where("lang is not null")
+    w = t.select(F.col("lang").alias("k"), "source", F.explode(words(F.col("text"))).alias("w"))
+    return A.bag_overlap(w.where("source = 'obituary'"), w.where("source = 'premiere_notice'"), "k", "w")
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT l_orderkey, coalesce(max(n) FILTER (WHERE f = 'A'), 0) AS a, coalesce(max(n) FILTER (WHERE f = 'R'), 0) AS r, coalesce(max(n) FILTER (WHERE f = 'N'), 0) AS n FROM x GROUP BY 1)
