@@ -89,9 +89,9 @@ def connected_components(edges: DataFrame, a: str, b: str, *, cell_edges: int =
         count = todo.count()
     if count:
         raise RuntimeError(f"groups are not stable after {max_rounds} rounds")
-    release(todo)
     if not rounds:
         return todo.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
+    release(todo)
     labels = None
     for known in reversed(rounds):
         parents = known.select("v", F.col("r")[0].alias("p"))
@@ -100,5 +100,8 @@ def connected_components(edges: DataFrame, a: str, b: str, *, cell_edges: int =
             continue
         up = labels.select(F.col("v").alias("p"), F.col("p").alias("_top"))
         resolved = parents.join(up, "p", "left").select("v", F.coalesce("_top", "p").alias("p"))
-        labels = resolved.unionByName(labels.join(parents.select("v"), "v", "left_anti"))
+        # written each time: the next step reads it twice, which would double the plan
+        step = materialize(resolved.unionByName(labels.join(parents.select("v"), "v", "left_anti")))
+        release(labels)
+        labels = step
     return labels.select(F.col("v").alias("vertex"), F.col("p").alias("component"))
