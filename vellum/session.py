@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -78,5 +77,8 @@ def num_slots(spark: SparkSession) -> int:
     return max(int(spark.sparkContext.defaultParallelism), 1)
 
 
-def repo_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over as many partitions as tasks can run, where a scan of few files
+    would leave most of them idle before costly Python work; larger scans stay."""
+    slots = num_slots(df.sparkSession)
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
