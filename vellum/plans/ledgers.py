@@ -41,14 +41,14 @@ def period_normalise(spark: SparkSession, d: str) -> DataFrame:
     return t.select("person_id", "list", g("^([а-яѣі]+)").alias("kind"), F.date_format(day, "yyyy-MM-dd").alias("stated"), read.alias("read_as"), season.alias("season_year"))
 
 
-@query(r"""WITH t AS (SELECT DISTINCT credit_id, person_candidate_ids AS ids FROM review_credit WHERE person_candidate_ids IS NOT NULL), x AS (SELECT DISTINCT credit_id, unnest(string_split_regex(ids, '[|;,\s]+')) AS pid FROM t), k AS (SELECT DISTINCT person_id_1 AS pid FROM person_candidate)
-SELECT credit_id, CAST(count(*) AS BIGINT) AS listed, CAST(count(k.pid) AS BIGINT) AS known FROM x LEFT JOIN k USING (pid) WHERE x.pid <> '' GROUP BY 1""")
+@query(r"""WITH t AS (SELECT DISTINCT person_id, unnest(string_split_regex(cities, '[;,\s]+')) AS city FROM review_person), k AS (SELECT DISTINCT city FROM production_entry WHERE city IS NOT NULL)
+SELECT person_id, CAST(count(*) AS BIGINT) AS listed, CAST(count(k.city) AS BIGINT) AS known FROM t LEFT JOIN k USING (city) WHERE t.city <> '' GROUP BY 1""")
 def ledger_links(spark: SparkSession, d: str) -> DataFrame:
-    """Token lists to links to known ids, counted back on the parent."""
-    t = table(spark, d, "review_credit", "credit_id", "person_candidate_ids").where("person_candidate_ids is not null").distinct()
-    x = t.select("credit_id", F.explode(F.split("person_candidate_ids", r"[|;,\s]+")).alias("pid")).where("pid <> ''").distinct()
-    k = table(spark, d, "person_candidate", "person_id_1").where("person_id_1 is not null").select(F.col("person_id_1").alias("pid"), F.lit(1).alias("k")).distinct()
-    return x.join(k, "pid", "left").groupBy("credit_id").agg(F.count("*").alias("listed"), F.count("k").alias("known"))
+    """Token lists to links to known values, counted back on the parent."""
+    t = table(spark, d, "review_person", "person_id", "cities")
+    x = t.select("person_id", F.explode(F.split("cities", r"[;,\s]+")).alias("city")).where("city <> ''").distinct()
+    k = table(spark, d, "production_entry", "city").where("city is not null").distinct().withColumn("k", F.lit(1))
+    return x.join(lookup(k), "city", "left").groupBy("person_id").agg(F.count("*").alias("listed"), F.count("k").alias("known"))
 
 
 @query("""WITH m AS (SELECT DISTINCT mention_id, block_id, mention_type, char_start, surface FROM review_mention WHERE mention_type = 'role'), o AS (SELECT *, row_number() OVER (PARTITION BY block_id, surface ORDER BY char_start, mention_id) AS nth FROM m),
