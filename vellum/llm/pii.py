@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.pii_cues import cue_spans, reformed, shape, tokens
+from vellum.session import materialize, spread
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
 #: Share of the potential that comes from signatures without the pattern cue.
@@ -35,10 +36,28 @@ FLOOR = 1e-4
 STEP = 2.0
 
 
-def observe(text: str) -> tuple[list[tuple[int, int]], list[str], list[str], list[str]]:
+_CUES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
+
+
+@F.pandas_udf(_CUES)
+def _cues(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: cue_spans(t) if t else [])
+
+
+def _cue_list(cues) -> list[tuple[str, int, int]]:
+    return [(c["kind"], c["a"], c["b"]) for c in cues]
+
+
+def with_cues(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _text, _cues): the pattern cues, found once and written, as both the
+    counting and the decoding read them."""
+    return materialize(spread(docs.select(key, F.col(text).alias("_text"))).withColumn("_cues", _cues("_text")))
+
+
+def observe(text: str, cues: list[tuple[str, int, int]] | None = None) -> tuple[list[tuple[int, int]], list[str], list[str], list[str]]:
     """Tokens that could be part of something, their weak labels and signatures with
     and without the cue. Plain lower-case words and marks without a cue are left out."""
-    spans, cues = tokens(text), cue_spans(text)
+    spans, cues = tokens(text), cue_spans(text) if cues is None else cues
     kept, labels, full, blind = [], [], [], []
     at, before = 0, "^"
     for a, b in spans:
@@ -60,11 +79,11 @@ _COUNTS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Str
 
 
 @F.pandas_udf(_COUNTS)
-def _counts(texts: pd.Series) -> pd.Series:
-    def of(text: str | None) -> list[tuple[str, str, str, int]]:
+def _counts(texts: pd.Series, cues: pd.Series) -> pd.Series:
+    def of(text: str | None, found) -> list[tuple[str, str, str, int]]:
         if not text:
             return []
-        kept, labels, full, blind = observe(text)
+        kept, labels, full, blind = observe(text, _cue_list(found))
         seen: dict[tuple[str, str, str], int] = defaultdict(int)
         for i, label in enumerate(labels):
             seen["s", full[i], label] += 1
@@ -73,7 +92,7 @@ def _counts(texts: pd.Series) -> pd.Series:
             seen["t", last, label] += 1
         return [(k, a, b, n) for (k, a, b), n in seen.items()]
 
-    return texts.map(of)
+    return pd.Series([of(t, c) for t, c in zip(texts, cues)])
 
 
 def _adjacent(text: str, left: tuple[int, int], right: tuple[int, int]) -> bool:
@@ -114,9 +133,9 @@ class Model:
         return max(-STEP, min(STEP, math.log(lift)))  # how much likelier than anywhere
 
 
-def decode(model: Model, text: str) -> list[tuple[str, int, int]]:
+def decode(model: Model, text: str, cues: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
     """Spans of one text: (kind, start, end)."""
-    kept, _, full, blind = observe(text)
+    kept, _, full, blind = observe(text, cues)
     if not kept:
         return []
     own = [model.potentials(f, b) for f, b in zip(full, blind)]
@@ -208,7 +227,11 @@ def _spans(text: str, kept: list[tuple[int, int]], best: list[str]) -> list[tupl
 def fit(docs: DataFrame, text: str) -> Model:
     """Weights counted over all documents; only counts per signature are gathered,
     whose number depends on the shapes of tokens and not on the documents."""
-    counted = docs.select(F.explode(_counts(F.col(text))).alias("c")).select("c.*").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    return fit_cues(docs.select(F.col(text).alias("_text")).withColumn("_cues", _cues("_text")))
+
+
+def fit_cues(seen: DataFrame) -> Model:
+    counted = seen.select(F.explode(_counts("_text", "_cues")).alias("c")).select("c.*").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     rows = counted.limit(MOST_SIGNATURES + 1).collect()
     if len(rows) > MOST_SIGNATURES:
         raise RuntimeError("more signatures than a model may have")
@@ -221,31 +244,33 @@ def find_personal(docs: DataFrame, key: str, text: str, model: Model | None = No
     Null, empty and blank texts hold nothing; a text of any length is read whole;
     repeated rows give their spans once; further columns are dropped.
     """
-    model = model or fit(docs, text)
+    seen = with_cues(docs, key, text)
+    model = model or fit_cues(seen)
 
     @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())])))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: decode(model, t) if t else [])
+    def run(texts: pd.Series, cues: pd.Series) -> pd.Series:
+        return pd.Series([decode(model, t, _cue_list(c)) if t else [] for t, c in zip(texts, cues)])
 
-    return docs.select(F.col(key), F.explode(run(F.col(text))).alias("s")).select(key, "s.*").distinct()
+    return seen.select(F.col(key), F.explode(run("_text", "_cues")).alias("s")).select(key, "s.*").distinct()
 
 
 def redact(docs: DataFrame, key: str, text: str, model: Model | None = None) -> DataFrame:
     """(key, redacted): the texts with typed placeholders such as ``[NAME]``; all
     other characters unchanged. Null stays null."""
-    model = model or fit(docs, text)
+    seen = with_cues(docs, key, text)
+    model = model or fit_cues(seen)
 
     @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        def of(t: str | None) -> str | None:
+    def run(texts: pd.Series, cues: pd.Series) -> pd.Series:
+        def of(t: str | None, found) -> str | None:
             if not t:
                 return t
             out, at = [], 0
-            for kind, a, b in decode(model, t):
+            for kind, a, b in decode(model, t, _cue_list(found)):
                 out += [t[at:a], f"[{kind.upper()}]"]
                 at = b
             return "".join([*out, t[at:]])
 
-        return texts.map(of)
+        return pd.Series([of(t, c) for t, c in zip(texts, cues)])
 
-    return docs.select(key, run(F.col(text)).alias("redacted"))
+    return seen.select(key, run("_text", "_cues").alias("redacted"))
