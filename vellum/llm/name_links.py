@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from vellum.llm.canonical_list import deletions, edit_distance
 from vellum.llm.charforms import consistent
 from vellum.llm.name_parts import first_names, folded_surname, initial, parse
-from vellum.operators.sizing import lookup
 from vellum.session import materialize
 
 #: Costs of the channel, in units of log probability.
@@ -83,7 +82,8 @@ def _near_surnames(a: DataFrame, b: DataFrame) -> DataFrame:
     """(sur, other, d) for surnames of ``a`` and ``b`` within the slips allowed."""
     left = a.select("sur").distinct().select("sur", F.explode(deletions(F.col("sur"), _slips(F.length("sur")))).alias("key"))
     right = b.select(F.col("sur").alias("other")).distinct().select("other", F.explode(deletions(F.col("other"), _slips(F.length("other")))).alias("key"))
-    met = left.join(right, "key").select("sur", "other").distinct().withColumn("d", edit_distance(F.col("sur"), F.col("other")))
+    # exploded keys outgrow what the planner expects of the files: never broadcast them
+    met = left.join(right.hint("merge"), "key").select("sur", "other").distinct().withColumn("d", edit_distance(F.col("sur"), F.col("other")))
     return met.where(F.col("d") <= F.least(_slips(F.length("sur")), _slips(F.length("other"))))
 
 
