@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.session import spread
+
 #: Where the vocabulary files lie; a parameter of every operator here.
 VOCABULARY = os.environ.get("VELLUM_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 #: How a text is cut into pieces before merging: fixed values of the vocabulary.
@@ -200,7 +202,7 @@ def encode_corpus(docs: DataFrame, key: str, text: str, path: str = VOCABULARY)
         for batch in batches:
             yield pd.DataFrame({key: batch.iloc[:, 0], "ids": [encode(t) for t in batch.iloc[:, 1]]})
 
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {kind}, ids array<int>")
+    return spread(docs.select(key, text)).mapInPandas(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(docs: DataFrame, keep: list[str], text: str, path: str = VOCABULARY) -> DataFrame:
@@ -210,4 +212,4 @@ def token_counts(docs: DataFrame, keep: list[str], text: str, path: str = VOCABU
         encode = text_encoder(path).encode
         return texts.map(lambda t: len(encode(t))).astype("int32")
 
-    return docs.select(*keep, count(F.col(text)).alias("n_tokens"))
+    return spread(docs.select(*keep, F.col(text).alias("_text"))).select(*keep, count("_text").alias("n_tokens"))
