@@ -20,7 +20,11 @@ COLUMNS = {
 }
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: The others run the same operators for another output, which the fixtures test.
+SAME = {"p1_mapped", "p2_repaired", "p3_persons", "p9_redacted"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SAME))
 def test_query(spark, name):
     df = QUERIES[name](spark, DATA)
     rows = df.collect()
