@@ -239,12 +239,25 @@ def string_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT person_id_1, person_id_2, max(similarity_score) AS score, arg_max(match_reason, similarity_score) AS reason, bool_or(coalesce(status, '') LIKE 'confirmed%') AS confirmed FROM (SELECT DISTINCT least(person_id_1, person_id_2) AS person_id_1, greatest(person_id_1, person_id_2) AS person_id_2, round(similarity_score, 4) AS similarity_score, match_reason, status FROM person_candidate WHERE person_id_1 <> person_id_2 AND match_reason = 'transliteration') GROUP BY 1, 2""")
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate pairs in one order with their best score."""
+    """Candidate pairs of one reason, as its SQL asks, in one order with their
+    best score; over all reasons: ``candidate_pairs_all``."""
     p = table(spark, d, "person_candidate", "person_id_1", "person_id_2", "similarity_score", "match_reason", "status").where("person_id_1 <> person_id_2 and match_reason = 'transliteration'")
     p = p.select(F.least("person_id_1", "person_id_2").alias("person_id_1"), F.greatest("person_id_1", "person_id_2").alias("person_id_2"), F.round("similarity_score", 4).alias("s"), "match_reason", "status")
     return p.groupBy("person_id_1", "person_id_2").agg(F.max("s").alias("score"), F.max_by("match_reason", "s").alias("reason"), F.bool_or(F.coalesce("status", F.lit("")).startswith("confirmed")).alias("confirmed"))
 
 
+@query("""WITH p AS (SELECT least(person_id_1, person_id_2) AS person_id_1, greatest(person_id_1, person_id_2) AS person_id_2, round(similarity_score, 4) AS s, match_reason, status FROM person_candidate WHERE person_id_1 <> person_id_2),
+r AS (SELECT *, row_number() OVER (PARTITION BY person_id_1, person_id_2 ORDER BY s DESC NULLS LAST, match_reason DESC NULLS LAST) AS k, bool_or(coalesce(status, '') LIKE 'confirmed%') OVER (PARTITION BY person_id_1, person_id_2) AS confirmed FROM p)
+SELECT person_id_1, person_id_2, s AS score, match_reason AS reason, confirmed FROM r WHERE k = 1""")
+def candidate_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs of all reasons in one order with their best score, the
+    reason that gave it (the last by name at a tie), and whether any row confirms them."""
+    p = table(spark, d, "person_candidate", "person_id_1", "person_id_2", "similarity_score", "match_reason", "status").where("person_id_1 <> person_id_2")
+    p = p.select(F.least("person_id_1", "person_id_2").alias("person_id_1"), F.greatest("person_id_1", "person_id_2").alias("person_id_2"), F.struct(F.round("similarity_score", 4).alias("s"), "match_reason").alias("b"), "status")
+    g = p.groupBy("person_id_1", "person_id_2").agg(F.max("b").alias("b"), F.bool_or(F.coalesce("status", F.lit("")).startswith("confirmed")).alias("confirmed"))
+    return g.select("person_id_1", "person_id_2", F.col("b.s").alias("score"), F.col("b.match_reason").alias("reason"), "confirmed")
+
+
 @query("""SELECT mention_type, link_method, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT block_id) AS BIGINT) AS blocks, round(avg(char_end - char_start), 4) AS mean_length FROM (SELECT mention_id, min(mention_type) AS mention_type, min(link_method) AS link_method, min(block_id) AS block_id, min(char_start) AS char_start, min(char_end) AS char_end FROM review_mention GROUP BY 1) GROUP BY 1, 2""")
 def mention_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Mentions by type and link method, late repeats counted once."""
