@@ -1,6 +1,6 @@
 """Queries that must cover whole tables and whole values, on fixtures a cut would fail."""
 
-from vellum.plans import entities
+from vellum.plans import entities, texts
 
 
 def stored(spark, folder, name, rows, schema):
@@ -23,3 +23,26 @@ def test_candidate_pairs_of_all_reasons(spark, tmp_path):
     d = stored(spark, tmp_path, "person_candidate", rows, "person_id_1 string, person_id_2 string, similarity_score double, match_reason string, status string")
     got = sorted(map(tuple, entities.candidate_pairs_all(spark, d).collect()))
     assert got == [("a", "b", 0.9, "same_initials", True), ("c", "d", 0.5, "same_initials", False), ("e", "f", None, "same_initials", True)]
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_distance_of_whole_texts(spark, tmp_path):
+    said = ["Мазурка, 12 пар.", "Полька, 12 пар.", "полька, 12 паръ.", "", "Ѣ\U0001d11e", None, "x", "домъ"]
+    rows = [(f"b{i}", "p", i, t) for i, t in enumerate(said)] + [("c1", "q", 8, "домъ"), ("c0", None, 0, "a"), ("c2", None, 1, "b")]
+    d = stored(spark, tmp_path, "review_passage", rows, "block_id string, page_id string, block_index int, text string")
+    got = {r.block_id: (r.distance, r.cer) for r in texts.edit_distance_cer_whole(spark, d).collect()}
+    want = {}
+    for i, (a, b) in enumerate(zip(said, said[1:])):
+        if a is not None and b is not None:
+            n = levenshtein(a, b)
+            want[f"b{i}"] = (n, round(n / len(a), 6) if a else None)
+    assert got == want
+    assert got["b0"][0] >= 5

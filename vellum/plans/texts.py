@@ -128,7 +128,8 @@ def medoid_banding(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH p AS (SELECT a.block_id, levenshtein(a.k, b.k) AS d, length(a.k) AS n FROM (SELECT block_id, page_id, block_index, regexp_replace(lower(text), '[^0-9 ,.]', '', 'g') AS k FROM review_passage WHERE text IS NOT NULL) a JOIN (SELECT page_id, block_index, regexp_replace(lower(text), '[^0-9 ,.]', '', 'g') AS k FROM review_passage WHERE text IS NOT NULL) b ON a.page_id = b.page_id AND b.block_index = a.block_index + 1)
 SELECT block_id, CAST(d AS INT) AS distance, CASE WHEN n > 0 THEN round(d / n, 6) END AS cer FROM p""")
 def edit_distance_cer(spark: SparkSession, d: str) -> DataFrame:
-    """Edit distance and error rate of the ASCII marks of neighbouring blocks."""
+    """edit distance and rate of digits, blanks, commas and points of neighbouring
+    blocks, as its SQL asks; of the whole texts: ``edit_distance_cer_whole``."""
     k = F.regexp_replace(F.lower("text"), "[^0-9 ,.]", "")
     p = table(spark, d, "review_passage", "block_id", "page_id", "block_index", "text").where("text is not null").withColumn("k", k)
     b = p.select("page_id", (F.col("block_index") - 1).alias("block_index"), F.col("k").alias("kb"))
@@ -136,6 +137,17 @@ def edit_distance_cer(spark: SparkSession, d: str) -> DataFrame:
     return p.join(b, ["page_id", "block_index"]).select("block_id", dist.alias("distance"), F.when(F.length("k") > 0, F.round(dist / F.length("k"), 6)).alias("cer"))
 
 
+@query(None)
+def edit_distance_cer_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Edit distance and error rate of the whole texts of neighbouring blocks.
+
+    Characters count as stored, case too. No SQL: DuckDB's distance counts bytes."""
+    p = table(spark, d, "review_passage", "block_id", "page_id", "block_index", "text").where("text is not null")
+    b = p.select("page_id", (F.col("block_index") - 1).alias("block_index"), F.col("text").alias("other"))
+    dist, n = F.levenshtein("text", "other"), F.length("text")
+    return p.join(b, ["page_id", "block_index"]).withColumn("distance", dist).select("block_id", "distance", F.when(n > 0, F.round(F.col("distance") / n, 6)).alias("cer"))
+
+
 _READINGS = [("r1", ["домъ", "дом", "домъ"]), ("r2", ["", "театръ", None]), ("r3", ["мiръ", "міръ", "міръ"]), ("r4", ["a", "b", "c"]), ("r5", ["вечеръ", "вечерь", "вечеръ"])]
 
 
