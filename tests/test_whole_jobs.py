@@ -46,3 +46,34 @@ def test_distance_of_whole_texts(spark, tmp_path):
             want[f"b{i}"] = (n, round(n / len(a), 6) if a else None)
     assert got == want
     assert got["b0"][0] >= 5
+
+
+def test_enumerated_items_of_all_documents(spark, tmp_path):
+    rows = [
+        (1, "reader_letter", "Прошу: 1) ноты; партитуру 2) либретто 10) клавиръ"),
+        (2, None, "а) первое\nеще строка"),
+        (3, "obituary", "см. 4) далѣе; безъ списка\nвторая строка"),
+        (4, "archive_request", "1) a; b\n2) c"),
+        (5, "archive_request", "(см. 4) и x(5) нѣтъ"),
+        (6, "editorial_note", "  1) a 2) b"),
+        (7, "editorial_note", " \n"),
+        (8, "editorial_note", None),
+        (9, "editorial_note", "вводъ b) одна c)"),
+        (10, "editorial_note", "123) a 1)x 2) y"),
+        (11, "editorial_note", " 1) одно"),
+    ]
+    d = stored(spark, tmp_path, "documents", rows, "doc_id long, source string, text string")
+    got = {}
+    for r in texts.segment_items_whole(spark, d).orderBy("doc_id", "k").collect():
+        got.setdefault(r.doc_id, []).append((r.k, r.enumerator, r.piece))
+    assert got == {
+        1: [(1, None, "Прошу:"), (2, "1)", "ноты; партитуру"), (3, "2)", "либретто"), (4, "10)", "клавиръ")],
+        2: [(1, "а)", "первое\nеще строка")],
+        3: [(1, None, "см. 4) далѣе; безъ списка\nвторая строка")],
+        4: [(1, "1)", "a; b"), (2, "2)", "c")],
+        5: [(1, None, "(см. 4) и x(5) нѣтъ")],
+        6: [(1, "1)", "a"), (2, "2)", "b")],
+        9: [(1, None, "вводъ b) одна c)")],
+        10: [(1, None, "123) a 1)x 2) y")],
+        11: [(1, None, "1) одно")],
+    }

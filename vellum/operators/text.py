@@ -29,6 +29,26 @@ def quoted_spans(df: DataFrame, key: str, text: Column) -> DataFrame:
     return sized.withColumn("at", before.cast("int")).where("i > 0").where(F.col("part").contains("»")).select(key, F.substring_index("part", "»", 1).alias("form"), "at")
 
 
+#: "1)" to "99)" or one letter with a bracket, white space behind it, as Java's
+#: regular expressions write it; white space is Unicode's.
+_LABEL = r"(?:\d{1,2}|[a-zA-Zа-яёА-ЯЁ])\)(?=\s)"
+
+
+def enumerated_items(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, k, enumerator, piece): a text cut at its enumerators if it has two, or one
+    at its very start; what leads in is a piece of its own (X8). Pieces count from 1
+    and are trimmed, blank ones dropped; without a label the enumerator is null."""
+    t, start = F.col(text), r"(?:^|(?<=\s))"
+    listed = (F.regexp_count(t, F.lit(f"(?U){start}{_LABEL}")) >= 2) | t.rlike(f"(?U)^{_LABEL}")
+    parts = F.when(listed, F.split(t, f"(?U){start}(?={_LABEL})")).otherwise(F.array(t))
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    pieces = F.filter(F.transform(parts, trim), lambda c: c != "")
+    label = F.nullif(F.regexp_extract("p", f"(?U)^({_LABEL})", 1), F.lit(""))
+    cut = df.where(t.isNotNull()).select(key, listed.alias("listed"), F.posexplode(pieces).alias("i", "p")).withColumn("enumerator", F.when(F.col("listed"), label))
+    body = F.when(F.col("enumerator").isNotNull(), F.regexp_replace("p", f"(?U)^{_LABEL}\\s*", "")).otherwise(F.col("p"))
+    return cut.select(key, (F.col("i") + 1).alias("k"), "enumerator", body.alias("piece"))
+
+
 def keyword_windows(df: DataFrame, key: str, text: str, pattern: str, reach: int) -> DataFrame:
     """(key, start, end, snippet): stretches around keyword hits, overlaps merged (M6)."""
     rx = regex.compile(pattern, regex.IGNORECASE)

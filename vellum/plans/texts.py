@@ -80,12 +80,20 @@ def letter_checks(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '[;\n]')) AS p FROM documents WHERE source = 'archive_request'), s AS (SELECT doc_id, trim(p, E' \t\r') AS piece FROM t)
 SELECT doc_id, piece, CAST(count(*) AS BIGINT) AS n FROM s WHERE piece <> '' GROUP BY 1, 2""")
 def segment_items(spark: SparkSession, d: str) -> DataFrame:
-    """Enumerated pieces of a form."""
+    """Pieces of the reading-room forms between semicolons and line ends, as its SQL
+    asks; enumerated pieces (X8) of all documents: ``segment_items_whole``."""
     t = table(spark, d, "documents", "doc_id", "source", "text").where("source = 'archive_request'")
     p = t.select("doc_id", F.explode(F.split("text", r"[;\n]")).alias("p")).select("doc_id", F.regexp_replace("p", r"^[ \t\r]+|[ \t\r]+$", "").alias("piece"))
     return p.where("piece <> ''").groupBy("doc_id", "piece").agg(F.count("*").alias("n"))
 
 
+@query(None)
+def segment_items_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of all documents cut at their enumerators, whole where there are none.
+    Null and blank texts have no pieces."""
+    return X.enumerated_items(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
 _TOPICS = {"receipts": "касса|сбор|roubles|receipts", "dance": "мазурк|пляск|mazurka|варіаці", "index": "указател|index|folio"}
 
 
