@@ -77,3 +77,67 @@ def test_enumerated_items_of_all_documents(spark, tmp_path):
         10: [(1, None, "123) a 1)x 2) y")],
         11: [(1, None, "1) одно")],
     }
+
+
+def test_medoids_of_all_blocks(spark, tmp_path):
+    a, b, c = "Касса открыта съ утра", "Касса открыта съ утра!", "Касса открыта съ утpа!!"
+    rows = [
+        ("b1", "p", "paragraph", a),
+        ("b2", "p", "footnote", b),
+        ("b3", "p", "list_item", a),
+        ("b4", "p", "heading", c),  # b2 sums to 2.887, b1 to 2.886, the least pair is 0.909
+        ("b5", "p", "paragraph", "Мазурка"),
+        ("b6", "p", "plate", None),
+        ("b7", "q", "heading", "Балетъ"),
+        ("b8", "q", "heading", "Балетъ"),
+        ("b9", None, "paragraph", a),
+        ("c1", "r", "paragraph", ""),
+        # equal twice outweighs a text between two others
+        ("d1", "s", "paragraph", "abcdefgh"),
+        ("d2", "s", "paragraph", "abcdefxx"),
+        ("d3", "s", "paragraph", "abcdefxx"),
+    ]
+    d = stored(spark, tmp_path, "review_passage", rows, "block_id string, page_id string, block_type string, text string")
+    got = sorted((r.page_id or "", r.medoid, r.readings, r.band) for r in texts.medoid_banding(spark, d).collect())
+    assert got == [("", "b9", 1, "single"), ("p", "b2", 4, "high"), ("p", "b5", 1, "single"), ("q", "b7", 2, "identical"), ("r", "c1", 1, "single"), ("s", "d2", 3, "medium")]
+
+
+def test_medoids_against_every_pair(spark, tmp_path):
+    import difflib
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    base = ["касса открыта", "мазурка и полька", "балетъ въ четырехъ"]
+    rows = []
+    for i in range(40):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(len(t))] = rng.choice("абв")
+        rows.append((f"b{i:02}", f"p{i % 4}", "".join(t)))
+    d = stored(spark, tmp_path, "review_passage", rows, "block_id string, page_id string, text string")
+    got = sorted((r.page_id, r.readings, r.medoid, r.band) for r in texts.medoid_banding(spark, d).collect())
+    s = {}
+    for page in {r[1] for r in rows}:
+        for x, y in itertools.combinations(sorted(r for r in rows if r[1] == page), 2):
+            s[x[0], y[0]] = s[y[0], x[0]] = difflib.SequenceMatcher(None, x[2], y[2], autojunk=False).ratio()
+    left, want = {r[0]: r for r in rows}, []
+    while left:
+        group, todo = set(), [min(left)]
+        while todo:
+            k = todo.pop()
+            group.add(k)
+            left.pop(k, None)
+            todo += [o for o in left if s.get((k, o), 0) >= 0.6 and o not in todo]
+        total = {k: round(sum(s[k, o] for o in group if o != k), 9) for k in group}
+        low = min((s[p] for p in itertools.combinations(sorted(group), 2)), default=None)
+        band = "single" if low is None else "identical" if low >= 0.999 else "high" if low >= 0.9 else "medium" if low >= 0.6 else "low"
+        want.append((rows[int(min(group)[1:])][1], len(group), min(group, key=lambda k: (-total[k], k)), band))
+    assert got == sorted(want)
+
+
+def test_bands_of_all_documents(spark, tmp_path):
+    rows = [(1, "obituary", "a b c d e f g h"), (2, "reader_letter", "одинъ два три"), (3, None, "x"), (4, "catalogue_card", ""), (5, "obituary", None)]
+    d = stored(spark, tmp_path, "documents", rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.stitched for r in texts.band_stitch(spark, d).collect()}
+    assert got == {1: "a b c d e f g h", 2: "одинъ два три", 3: "x", 4: ""}

@@ -71,23 +71,52 @@ def keyword_windows(df: DataFrame, key: str, text: str, pattern: str, reach: int
     return df.select(key, F.explode(run(text)).alias("w")).select(key, "w.*")
 
 
-def medoids(df: DataFrame, group: str, member: str, text: str) -> DataFrame:
-    """(group, medoid, band): member with the largest summed similarity to the others
-    and the agreement of the least alike pair (A18, A19). Pairs meet inside a group
-    by an equi-join; groups are the readings of one thing."""
-
-    @F.pandas_udf(T.DoubleType())
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
-
-    left = df.select(group, F.col(member).alias("m1"), F.col(text).alias("t1"))
-    right = df.select(group, F.col(member).alias("m2"), F.col(text).alias("t2"))
-    half = left.join(right, group).where("m1 < m2").withColumn("s", ratio("t1", "t2")).select(group, "m1", "m2", "s")
-    both = half.unionByName(half.select(group, F.col("m2").alias("m1"), F.col("m1").alias("m2"), "s"))
-    per = both.groupBy(group, "m1").agg(F.sum("s").alias("total"), F.min("s").alias("low"))
-    low = F.min("low")
-    band = F.when(low >= 0.999, "identical").when(low >= 0.9, "high").when(low >= 0.6, "medium").otherwise("low")
-    return per.groupBy(group).agg(F.max_by("m1", F.struct("total", "m1")).alias("medoid"), band.alias("band"))
+def medoids(df: DataFrame, group: str, member: str, text: str, floor: float = 0.6) -> DataFrame:
+    """(group, medoid, readings, band): for each set of readings of one thing the member
+    with the largest summed similarity to the others, how many there are and the
+    agreement of the least alike pair (A18, A19).
+
+    Members of a group (a page) read one thing if their texts are alike by ``floor``,
+    directly or over others (X2). Equal texts are one with its count before they are
+    paired; the smallest member stands for them, and wins ties. A thing read once is
+    its own medoid, band ``single``; so is a member without a group. A group is
+    compared in one task: group by something bounded."""
+    kinds = df.select(group, F.col(member).alias("medoid")).schema
+    out = T.StructType([*kinds, T.StructField("readings", T.LongType()), T.StructField("band", T.StringType())])
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("m")
+        texts, counts, rows = pdf["t"].tolist(), pdf["n"].tolist(), []
+        known: dict[tuple[int, int], float] = {}
+
+        def ratio(i: int, j: int) -> float:
+            i, j = min(i, j), max(i, j)
+            if (i, j) not in known:
+                known[i, j] = difflib.SequenceMatcher(None, texts[i], texts[j], autojunk=False).ratio()
+            return known[i, j]
+
+        def alike(i: int, j: int) -> bool:
+            s = difflib.SequenceMatcher(None, texts[i], texts[j], autojunk=False)
+            return s.real_quick_ratio() >= floor and s.quick_ratio() >= floor and ratio(i, j) >= floor  # upper bounds first
+
+        root = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                if root[i] != root[j] and alike(j, i):
+                    root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+        for top in sorted(set(root)):
+            own = [i for i, r in enumerate(root) if r == top]
+            total = {i: counts[i] - 1 + sum(counts[j] * ratio(i, j) for j in own if j != i) for i in own}
+            low = min((ratio(i, j) for i in own for j in own if i < j), default=1.0)
+            n = sum(counts[i] for i in own)
+            band = "single" if n == 1 else "identical" if low >= 0.999 else "high" if low >= 0.9 else "medium" if low >= 0.6 else "low"
+            rows.append((pdf["g"].iloc[0], pdf["m"].iloc[max(own, key=lambda i: (round(total[i], 9), -i))], n, band))
+        return pd.DataFrame(rows, columns=out.fieldNames())
+
+    told = df.where(F.col(text).isNotNull())
+    alone = told.where(F.col(group).isNull()).select(group, F.col(member).alias("medoid"), F.lit(1).cast("long").alias("readings"), F.lit("single").alias("band"))
+    each = told.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), F.col(text).alias("t")).agg(F.min(member).alias("m"), F.count("*").alias("n"))
+    return each.groupBy("g").applyInPandas(of, out).unionByName(alone)
 
 
 @F.pandas_udf(T.StructType([T.StructField("chosen", T.StringType()), T.StructField("kind", T.StringType())]))

@@ -128,9 +128,10 @@ def kwic_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def medoid_banding(spark: SparkSession, d: str) -> DataFrame:
-    """Most central reading of each group and how alike its readings are."""
-    p = table(spark, d, "review_passage", "block_id", "page_id", "block_type", "text").where("block_type = 'footnote' and text is not null")
-    return X.medoids(p, "page_id", "block_id", "text")
+    """Most central of the readings of one block and how alike they
+    are. Readings of a block are the blocks of its page, of any type, with a text at
+    least 0.6 alike; what was read once stands for itself."""
+    return X.medoids(table(spark, d, "review_passage", "block_id", "page_id", "text"), "page_id", "block_id", "text")
 
 
 @query("""WITH p AS (SELECT a.block_id, levenshtein(a.k, b.k) AS d, length(a.k) AS n FROM (SELECT block_id, page_id, block_index, regexp_replace(lower(text), '[^0-9 ,.]', '', 'g') AS k FROM review_passage WHERE text IS NOT NULL) a JOIN (SELECT page_id, block_index, regexp_replace(lower(text), '[^0-9 ,.]', '', 'g') AS k FROM review_passage WHERE text IS NOT NULL) b ON a.page_id = b.page_id AND b.block_index = a.block_index + 1)
@@ -286,5 +287,5 @@ def band_stitch(spark: SparkSession, d: str) -> DataFrame:
 
         return texts.map(cut)
 
-    t = table(spark, d, "documents", "doc_id", "text", "source").where("source = 'obituary' and text is not null")
+    t = table(spark, d, "documents", "doc_id", "text").where("text is not null")
     return X.stitched(t.withColumn("bands", halves("text")), "doc_id", "bands").withColumn("whole", F.col("stitched"))
