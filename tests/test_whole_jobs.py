@@ -141,3 +141,31 @@ def test_bands_of_all_documents(spark, tmp_path):
     d = stored(spark, tmp_path, "documents", rows, "doc_id long, source string, text string")
     got = {r.doc_id: r.stitched for r in texts.band_stitch(spark, d).collect()}
     assert got == {1: "a b c d e f g h", 2: "одинъ два три", 3: "x", 4: ""}
+
+
+def folded(word):
+    import re
+
+    return re.sub(r"([^\W\d_])\1", r"\1", word.lower().translate(str.maketrans("ѣіѳѵё", "еифие", "ъь")))
+
+
+def test_variants_by_fold_of_all_words(spark, tmp_path):
+    import re
+    from collections import Counter, defaultdict
+
+    said = ["послѣ " * 10 + "после ", "Михаилъ " * 6 + "михаил ѳоминична", "фоминична " * 5 + "балеты", "балетъ " * 9 + "балетомъ", "классъ " * 5 + "класъ", "миръ міръ " * 5, "я " * 4, None, ""]
+    d = stored(spark, tmp_path, "documents", [(i, t) for i, t in enumerate(said)], "doc_id long, text string")
+    count = Counter(w for t in said if t for w in re.findall("[a-zа-яѣіѳѵё]+", t.lower()))
+    groups = defaultdict(dict)
+    for w, n in count.items():
+        groups[folded(w)][w] = n
+    want = {(w, f, n, max(g.values())) for f, g in groups.items() for w, n in g.items() if n < max(g.values()) >= 5 * n and sum(g.values()) >= 5}
+    got = [tuple(r) for r in texts.name_variants_folded(spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {w for w, *_ in want} == {"после", "михаил", "ѳоминична", "класъ"}
+
+
+def test_families_counted_after_the_fold(spark, tmp_path):
+    rows = [(n,) for n in ["Ѳедоровъ", "Федоров", "Виллъ", "Вилъ", "Мартьянова", "Мартьянова", None]]
+    d = stored(spark, tmp_path, "review_person", rows, "canonical_family_name string")
+    assert [tuple(r) for r in texts.folded_family_keys(spark, d).collect()] == [("all", 5, 3)]

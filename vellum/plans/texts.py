@@ -46,11 +46,20 @@ def nth_label_repair(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-zа-яѣіѳѵё]+')) AS w FROM documents), c AS (SELECT w, count(*) AS n, left(w, 6) AS k FROM t WHERE length(w) >= 7 GROUP BY 1),
 m AS (SELECT *, max(n) OVER (PARTITION BY k) AS top, sum(n) OVER (PARTITION BY k) AS total FROM c) SELECT w AS variant, k AS fold, CAST(n AS BIGINT) AS n, CAST(top AS BIGINT) AS dominant FROM m WHERE n < top AND top >= 5 * n AND total >= 5""")
 def name_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Rare variants of a frequent word with the same fold."""
+    """Rare words of at least seven letters beside a frequent one with the same first
+    six, as its SQL asks; by the spelling fold (X6): ``name_variants_folded``."""
     t = table(spark, d, "documents", "text").select(F.explode(words(F.col("text"))).alias("w")).where(F.length("w") >= 7)
     return X.variant_outliers(t.withColumn("fold", F.left("w", F.lit(6))), "w", "fold")
 
 
+@query(None)
+def name_variants_folded(spark: SparkSession, d: str) -> DataFrame:
+    """Rare variants of a frequent word with the same spelling fold, over all words.
+    No SQL: DuckDB's patterns can't name a letter met before, as doubled letters need."""
+    t = table(spark, d, "documents", "text").select(F.explode(words(F.col("text"))).alias("w"))
+    return X.variant_outliers(t.withColumn("fold", spelling_fold(F.col("w"))), "w", "fold")
+
+
 @query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zа-яѣіѳѵё]+') AS ws FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CAST(len(ws) AS INT) AS n_words, CAST(len(list_distinct(ws)) AS INT) AS n_distinct, len(ws) >= 8 AND len(list_distinct(ws)) / len(ws) < 0.34 AS degenerate FROM t""")
 def repetition(spark: SparkSession, d: str) -> DataFrame:
@@ -269,11 +278,20 @@ def rejoined_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT family, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT canonical_family_name AS f, regexp_replace(translate(lower(canonical_family_name), 'ѣіѳѵёъь', 'еифие'), '(бб|вв|гг|дд|лл|мм|нн|пп|рр|сс|тт|зз|кк|шш|чч|ии|ее|оо)', '#', 'g') AS x FROM review_person) CROSS JOIN (VALUES ('all')) AS v(family) WHERE f IS NOT NULL GROUP BY 1""")
 def folded_families(spark: SparkSession, d: str) -> DataFrame:
-    """distinct family names after the spelling fold keep their number."""
+    """Distinct family names as printed, as its SQL counts them; after the fold (F21):
+    ``folded_family_keys``."""
     p = table(spark, d, "review_person", "canonical_family_name").where("canonical_family_name is not null").distinct().withColumn("k", spelling_fold(F.col("canonical_family_name")))
     return p.agg(F.count("k").alias("n")).select(F.lit("all").alias("family"), "n")
 
 
+@query(None)
+def folded_family_keys(spark: SparkSession, d: str) -> DataFrame:
+    """distinct family names before and after the spelling fold. No SQL, as in
+    ``name_variants_folded``."""
+    p = table(spark, d, "review_person", "canonical_family_name").where("canonical_family_name is not null")
+    return p.agg(F.countDistinct("canonical_family_name").alias("names"), F.countDistinct(spelling_fold(F.col("canonical_family_name"))).alias("n")).select(F.lit("all").alias("family"), "names", "n")
+
+
 @query(None)
 def band_stitch(spark: SparkSession, d: str) -> DataFrame:
     """Consecutive bands of words stitched at their longest overlap."""
