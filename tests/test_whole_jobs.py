@@ -1,6 +1,6 @@
 """Queries that must cover whole tables and whole values, on fixtures a cut would fail."""
 
-from vellum.plans import entities, texts
+from vellum.plans import entities, relational, texts
 
 
 def stored(spark, folder, name, rows, schema):
@@ -169,3 +169,39 @@ def test_families_counted_after_the_fold(spark, tmp_path):
     rows = [(n,) for n in ["Ѳедоровъ", "Федоров", "Виллъ", "Вилъ", "Мартьянова", "Мартьянова", None]]
     d = stored(spark, tmp_path, "review_person", rows, "canonical_family_name string")
     assert [tuple(r) for r in texts.folded_family_keys(spark, d).collect()] == [("all", 5, 3)]
+
+
+def test_claims_over_all_prices(spark, tmp_path):
+    import datetime
+    import random
+
+    rng, may = random.Random(3), datetime.datetime(1997, 5, 3)
+    rows = [
+        (1, may, "1-URGENT", "O", 19999.0),
+        (2, may, "1-URGENT", "F", 20001.0),
+        (3, may, "1-URGENT", "F", 15000.0),
+        (4, may, "2-HIGH", "O", 1000.0),
+        (5, may, "2-HIGH", "F", 19000.0),
+        (6, may, "3-MEDIUM", "O", 50000.0),
+        (7, may, "3-MEDIUM", "F", 80000.0),
+        (8, may, "5-LOW", "O", 0.0),
+        (9, may, "5-LOW", "F", 0.0),
+    ]
+    rows += [(100 + i, datetime.datetime(1998, 1 + i % 2, 9), "2-HIGH", "OF"[rng.randint(0, 1)], round(rng.uniform(900, 150000), 2)) for i in range(120)]
+    d = stored(spark, tmp_path, "orders", rows, "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_orderstatus string, o_totalprice double")
+    got = {(r.l, r.r): r.score for r in relational.greedy_claim(spark, d).collect()}
+    assert got[1, 2] == 0.9999 and got[6, 7] == 0.625
+    assert not {4, 8} & {left for left, _ in got}
+    pairs = []
+    for a in rows:
+        for b in rows:
+            if a[3] == "O" and b[3] == "F" and (a[1].month, a[1].year, a[2]) == (b[1].month, b[1].year, b[2]) and min(a[4], b[4]) > 0:
+                score = round(1 - abs(a[4] - b[4]) / max(a[4], b[4]), 6)
+                if score >= 0.6:
+                    pairs.append((-score, a[0], b[0]))
+    want, used = {}, set()
+    for score, left, right in sorted(pairs):
+        if not {left, right} & used:
+            used |= {left, right}
+            want[left, right] = -score
+    assert got == want
