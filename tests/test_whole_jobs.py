@@ -205,3 +205,16 @@ def test_claims_over_all_prices(spark, tmp_path):
             used |= {left, right}
             want[left, right] = -score
     assert got == want
+
+
+def test_head_pairs_of_whole_lines(spark):
+    from vellum.llm.scan_repair import learned_heads
+
+    long = "слово " * 60
+    paired = "Обозрѣніе сезона"
+    # the head stands in mid-sentence, but its words stand often beyond the fortieth of a line too
+    pages = [f"актеры играли и пѣли\n{paired}\nвесьма хорошо." for _ in range(12)]
+    lines = [long + paired + " вышло въ свѣтъ." for _ in range(12)]
+    heads = lambda texts: [r.head for r in learned_heads(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()]
+    assert heads(pages) == [paired]
+    assert heads(pages + lines) == []

@@ -95,7 +95,7 @@ def _clues(texts: pd.Series) -> pd.Series:
                 out.append(("line", head_key(line), int(open_before)))
             words = line.split()
             for j in range(len(words) - 1):
-                if words[j][0].isupper() and j < 40:
+                if words[j][0].isupper():
                     out.append(("pair", head_key(words[j] + " " + words[j + 1]), int(j == 0)))
             open_before = bool(OPEN_END.search(line))
         return out
