@@ -218,3 +218,13 @@ def test_head_pairs_of_whole_lines(spark):
     heads = lambda texts: [r.head for r in learned_heads(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()]
     assert heads(pages) == [paired]
     assert heads(pages + lines) == []
+
+
+def test_slips_of_slips_to_the_end(spark):
+    from vellum.llm.name_links import attribute_names
+
+    # each one edit from the next, thirteen times as frequent: the first is five hops from the last
+    surnames = ["Бабинъ", "Бадинъ", "Бадонъ", "Гадонъ", "Гадовъ", "Радовъ"]
+    rows = spark.createDataFrame([(f"{s}, Иванъ Петровичъ", 13**k) for k, s in enumerate(surnames)], "value string, n int")
+    got = attribute_names(rows.selectExpr("value", "explode(sequence(1, n))"), "value").collect()
+    assert len(got) == len(surnames) and len({r.person for r in got}) == 1

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from vellum.llm.canonical_list import deletions, edit_distance
 from vellum.llm.charforms import consistent
 from vellum.llm.name_parts import first_names, folded_surname, initial, parse
+from vellum.operators.matching import final_of_chain
 from vellum.session import materialize
 
 #: Costs of the channel, in units of log probability.
@@ -139,10 +140,10 @@ def attribute_names(values: DataFrame, value: str) -> DataFrame:
         .where("gender = '' or gender_c = '' or gender = gender_c")
         .withColumn("post", F.col("prior_c") - _cost(F.col("d"), (F.col("pi") == F.col("pi_c")) & (F.col("pi") != "")))
     )
-    best = rival.groupBy("person").agg(F.max(F.struct("post", "prior_c", "person_c")).alias("b")).select("person", F.col("b.person_c").alias("to"))
-    up = best
-    for _ in range(2):  # a slip of a slip
-        up = up.join(best.select(F.col("person").alias("to"), F.col("to").alias("next")), "to", "left").select("person", F.coalesce("next", "to").alias("to"))
+    best = materialize(rival.groupBy("person").agg(F.max(F.struct("post", "prior_c", "person_c")).alias("b")).select("person", F.col("b.person_c").alias("to")))
+    # a slip of a slip: to the end of the chain, however long; raises if there is none
+    ends = final_of_chain(best.where("person <> to"), "person", "to").select("person", "final")
+    up = best.join(ends, "person", "left").select("person", F.coalesce("final", "to").alias("to"))
     up = materialize(up)
 
     # every spelling to its best candidate
