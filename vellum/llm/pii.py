@@ -1,276 +1,111 @@
 """Personal information in free text by a skip-chain conditional random field.
 
-Every token has a label: outside, or first or later token of an e-mail address,
-phone number, identity number, address or name. A token's own potential comes from
-its signature (pattern cue, shape, shape before), neighbours share transition
-potentials, and distant tokens with the same or a similar capitalised word share a
-skip potential that favours equal answers to "is this a name?". Weights are counted
-over all documents from the weak labels that the patterns give; part of the mass
-comes from signatures without the pattern cue, so that a name the patterns miss is
-still found where the document names the person elsewhere. Max-product messages are
-passed along the chains and over the skip edges until nothing changes.
+The field (``crf``) labels every token: outside, or first or later token of an e-mail
+address, phone number, identity number, address or name. It is fitted on a bounded
+sample of documents whose weak labels come from patterns and word lists (``pii_cues``);
+the patterns for names and identity numbers are used there only. All documents are
+then labelled by the field alone, from words, endings, shapes, formats and repeats.
+Skip edges between distant tokens with the same or a similar word make their answers
+agree: a bare surname follows the full name given elsewhere, a doubtful one falls
+where the word is clearly no name elsewhere.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from vellum.llm.pii_cues import cue_spans, reformed, shape, tokens
-from vellum.session import materialize, spread
+from vellum.llm.crf import Field, blocks_of, spans_of, weak_labels
+from vellum.llm.pii_cues import cue_spans
+from vellum.session import spread
 
-KINDS = ["email", "phone", "id_number", "address", "name"]
-#: Share of the potential that comes from signatures without the pattern cue.
-BLIND = 0.1
-#: Strength of a skip edge, rounds of messages, shortest word that is linked.
-SKIP, ROUNDS, LINKED = 4.0, 4, 4
-#: Signatures the model may have; it is told how many there are, and far fewer come up.
-MOST_SIGNATURES = 200_000
-FLOOR = 1e-4
-#: Bound of a transition's potential either way.
-STEP = 2.0
+#: Documents the field is fitted on, at most, and the longest of them in code points.
+#: They are chosen by a hash of the key; documents beyond the length are labelled like
+#: all others, only not fitted on.
+FIT_DOCS, FIT_CHARS = 5_000, 20_000
+#: Documents put into one block of the fit.
+FIT_BLOCK = 400
 
 
-_CUES = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
+def sample(docs: DataFrame, key: str, text: str, most: int = FIT_DOCS) -> list[str]:
+    """At most ``most`` texts for the fit, in the order of a hash of the key."""
+    rows = docs.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t")).where(f"length(t) between 1 and {FIT_CHARS}")
+    share = min(1.0, 1.1 * most / max(docs.count(), 1))
+    drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * most).collect()
+    return [r.t for r in sorted(drawn, key=lambda r: (r.h, r.t))[:most]]
 
 
-@F.pandas_udf(_CUES)
-def _cues(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: cue_spans(t) if t else [])
+def fit_texts(texts: list[str], **how) -> Field:
+    """The field fitted on the weak labels of the texts."""
+    blocks, labels = [], []
+    for i in range(0, len(texts), FIT_BLOCK):
+        for places, block in blocks_of(texts[i : i + FIT_BLOCK]):
+            blocks.append(block)
+            labels.append(weak_labels(block, [cue_spans(texts[i + j]) for j in places]))
+    return Field().fit(blocks, labels, **how)
 
 
-def _cue_list(cues) -> list[tuple[str, int, int]]:
-    return [(c["kind"], c["a"], c["b"]) for c in cues]
+def fit(docs: DataFrame, key: str, text: str) -> Field:
+    """The field fitted on a bounded sample of the documents (``FIT_DOCS``)."""
+    return fit_texts(sample(docs, key, text))
 
 
-def with_cues(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, _text, _cues): the pattern cues, found once and written, as both the
-    counting and the decoding read them."""
-    return materialize(spread(docs.select(key, F.col(text).alias("_text"))).withColumn("_cues", _cues("_text")))
+def checked(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans that can be what they are called: numbers and addresses hold a digit,
+    names a letter."""
+    return [(k, a, b) for k, a, b in spans if (k == "email" or any(map(str.isalpha if k == "name" else str.isdigit, text[a:b])))]
 
 
-def observe(text: str, cues: list[tuple[str, int, int]] | None = None) -> tuple[list[tuple[int, int]], list[str], list[str], list[str]]:
-    """Tokens that could be part of something, their weak labels and signatures with
-    and without the cue. Plain lower-case words and marks without a cue are left out."""
-    spans, cues = tokens(text), cue_spans(text) if cues is None else cues
-    kept, labels, full, blind = [], [], [], []
-    at, before = 0, "^"
-    for a, b in spans:
-        while at < len(cues) and cues[at][2] <= a:
-            at += 1
-        inside = at < len(cues) and cues[at][1] <= a < cues[at][2]
-        form = shape(text[a:b])
-        if inside or form in ("UP", "G", "S", "C", "m"):
-            label = ("B-" if a == cues[at][1] else "I-") + cues[at][0] if inside else "O"
-            kept.append((a, b))
-            labels.append(label)
-            full.append(f"{label}|{form}|{before}")
-            blind.append(f"*|{form}|{before}")
-        before = form if inside or form != "w" else "w"
-    return kept, labels, full, blind
-
-
-_COUNTS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("n", T.IntegerType())]))
-
-
-@F.pandas_udf(_COUNTS)
-def _counts(texts: pd.Series, cues: pd.Series) -> pd.Series:
-    def of(text: str | None, found) -> list[tuple[str, str, str, int]]:
-        if not text:
-            return []
-        kept, labels, full, blind = observe(text, _cue_list(found))
-        seen: dict[tuple[str, str, str], int] = defaultdict(int)
-        for i, label in enumerate(labels):
-            seen["s", full[i], label] += 1
-            seen["s", blind[i], label] += 1
-            last = labels[i - 1] if i and _adjacent(text, kept[i - 1], kept[i]) else "O"
-            seen["t", last, label] += 1
-        return [(k, a, b, n) for (k, a, b), n in seen.items()]
-
-    return pd.Series([of(t, c) for t, c in zip(texts, cues)])
-
-
-def _adjacent(text: str, left: tuple[int, int], right: tuple[int, int]) -> bool:
-    """Nothing but blanks of one line stands between the tokens."""
-    return text[left[1] : right[0]].strip(" \t\u00a0") == ""
-
-
-class Model:
-    """Counted potentials."""
-
-    def __init__(self, rows: list[tuple[str, str, str, int]]):
-        by: dict[str, dict[str, float]] = defaultdict(dict)
-        self.follow: dict[str, dict[str, float]] = defaultdict(dict)
-        for kind, a, b, n in rows:
-            (by if kind == "s" else self.follow)[a][b] = float(n)
-        share: dict[str, float] = defaultdict(float)
-        for row in self.follow.values():
-            for label, n in row.items():
-                share[label] += n
-        seen = sum(share.values())
-        self.share = {label: n / seen for label, n in share.items()}
-        for table in (by, self.follow):
-            for row in table.values():
-                total = sum(row.values())
-                for key in row:
-                    row[key] /= total
-        self.by = by
-
-    def potentials(self, full: str, blind: str) -> dict[str, float]:
-        sure, dim = self.by.get(full, {}), self.by.get(blind, {})
-        out = {label: (1 - BLIND) * sure.get(label, 0.0) + BLIND * dim.get(label, 0.0) for label in {*sure, *dim, "O"}}
-        return {label: math.log(p + FLOOR) for label, p in out.items() if p > FLOOR or label == "O"}
-
-    def step(self, before: str, label: str) -> float:
-        if label[0] == "I" and before[2:] != label[2:]:
-            return -1e9
-        lift = (self.follow.get(before, {}).get(label, 0.0) + 0.001) / (self.share.get(label, 0.0) + 0.001)
-        return max(-STEP, min(STEP, math.log(lift)))  # how much likelier than anywhere
-
-
-def decode(model: Model, text: str, cues: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
-    """Spans of one text: (kind, start, end)."""
-    kept, _, full, blind = observe(text, cues)
-    if not kept:
-        return []
-    own = [model.potentials(f, b) for f, b in zip(full, blind)]
-    chains: list[list[int]] = []
-    for i in range(len(kept)):
-        if i and _adjacent(text, kept[i - 1], kept[i]):
-            chains[-1].append(i)
-        else:
-            chains.append([i])
-    links: dict[str, list[int]] = defaultdict(list)
-    for i, (a, b) in enumerate(kept):
-        word = text[a:b]
-        if b - a >= LINKED and word[0].isupper() and any("-name" in label for label in own[i]):
-            links[_stem(word)].append(i)
-    groups = [g for g in links.values() if len(g) > 1]
-    extra: dict[int, float] = {}
-    best, names = _max_marginals(model, own, chains, extra)
-    for _ in range(ROUNDS):
-        told: dict[int, float] = {}
-        for group in groups:  # all tokens of a word: each hears the others' sum
-            total = sum(_message(names[i] - extra.get(i, 0.0)) for i in group)
-            for i in group:
-                told[i] = max(-SKIP, min(SKIP, total - _message(names[i] - extra.get(i, 0.0))))
-        if all(abs(told[i] - extra.get(i, 0.0)) < 1e-6 for i in told):
-            break
-        extra = told
-        best, names = _max_marginals(model, own, chains, extra)
-    return _spans(text, kept, best)
-
-
-def _message(odds: float) -> float:
-    """What a skip edge passes on of a token's odds of being part of a name; doubt
-    and denial of unmarked tokens weigh little, so that one sure naming prevails."""
-    return max(-0.2, min(SKIP, odds))
-
-
-def _stem(word: str) -> str:
-    """A word without case endings and letter case."""
-    low = reformed(word)
-    for end in ("ымъ", "ого", "ому", "ым", "им", "ом", "ем", "ой", "ою", "ая", "ий", "а", "у", "ы"):
-        if low.endswith(end) and len(low) - len(end) >= LINKED:
-            return low[: -len(end)]
-    return low
-
-
-def _max_marginals(model: Model, own: list[dict[str, float]], chains: list[list[int]], extra: dict[int, float]) -> tuple[list[str], list[float]]:
-    """Best labels, and for each token the best score as a name minus otherwise."""
-    best, names = ["O"] * len(own), [0.0] * len(own)
-    for chain in chains:
-        unary = [{label: s + (extra.get(i, 0.0) if "-name" in label else 0.0) for label, s in own[i].items()} for i in chain]
-        ahead: list[dict[str, float]] = []
-        back: list[dict[str, str]] = []
-        for k, u in enumerate(unary):
-            row, ptr = {}, {}
-            for label, score in u.items():
-                options = {"O": 0.0} if k == 0 else ahead[-1]
-                top = max(options, key=lambda b: options[b] + model.step(b, label))
-                row[label], ptr[label] = options[top] + model.step(top, label) + score, top
-            ahead.append(row)
-            back.append(ptr)
-        behind: list[dict[str, float]] = [{} for _ in unary]
-        behind[-1] = dict.fromkeys(unary[-1], 0.0)
-        for k in range(len(unary) - 2, -1, -1):
-            behind[k] = {x: max(model.step(x, y) + unary[k + 1][y] + behind[k + 1][y] for y in unary[k + 1]) for x in unary[k]}
-        label = max(ahead[-1], key=ahead[-1].get)
-        for k in range(len(chain) - 1, -1, -1):
-            best[chain[k]] = label
-            label = back[k][label]
-        for k, i in enumerate(chain):
-            yes = [ahead[k][x] + behind[k][x] for x in unary[k] if "-name" in x]
-            no = [ahead[k][x] + behind[k][x] for x in unary[k] if "-name" not in x]
-            names[i] = (max(yes) if yes else -20.0) - (max(no) if no else -20.0)
-    return best, names
-
-
-def _spans(text: str, kept: list[tuple[int, int]], best: list[str]) -> list[tuple[str, int, int]]:
-    out: list[tuple[str, int, int]] = []
-    for (a, b), label in zip(kept, best):
-        if label == "O":
-            continue
-        kind = label[2:]
-        if label[0] == "I" and out and out[-1][0] == kind and text[out[-1][2] : a].strip() == "":
-            out[-1] = (kind, out[-1][1], b)
-        else:
-            out.append((kind, a, b))
+def label(field: Field, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
+    """Spans of each text; null, empty and blank texts hold none."""
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    filled = [i for i, t in enumerate(texts) if t]
+    for places, block in blocks_of([texts[i] for i in filled]):
+        for j, spans in zip(places, spans_of(block, field.decode(block))):
+            out[filled[j]] = checked(texts[filled[j]], spans)
     return out
 
 
-def fit(docs: DataFrame, text: str) -> Model:
-    """Weights counted over all documents; only counts per signature are gathered,
-    whose number depends on the shapes of tokens and not on the documents."""
-    return fit_cues(docs.select(F.col(text).alias("_text")).withColumn("_cues", _cues("_text")))
-
-
-def fit_cues(seen: DataFrame) -> Model:
-    counted = seen.select(F.explode(_counts("_text", "_cues")).alias("c")).select("c.*").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    rows = counted.limit(MOST_SIGNATURES + 1).collect()
-    if len(rows) > MOST_SIGNATURES:
-        raise RuntimeError("more signatures than a model may have")
-    return Model([(r.kind, r.a, r.b, r.n) for r in rows])
-
-
-def find_personal(docs: DataFrame, key: str, text: str, model: Model | None = None) -> DataFrame:
+def find_personal(docs: DataFrame, key: str, text: str, field: Field | None = None) -> DataFrame:
     """(key, kind, char_start, char_end) of everything found, offsets in code points.
 
     Null, empty and blank texts hold nothing; a text of any length is read whole;
-    repeated rows give their spans once; further columns are dropped.
+    repeated rows give their spans once; further columns are dropped. Where there are
+    no texts to fit on nothing is found.
     """
-    seen = with_cues(docs, key, text)
-    model = model or fit_cues(seen)
+    shared = docs.sparkSession.sparkContext.broadcast(field or fit(docs, key, text))
+    kind = docs.schema[key].dataType.simpleString()
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())])))
-    def run(texts: pd.Series, cues: pd.Series) -> pd.Series:
-        return pd.Series([decode(model, t, _cue_list(c)) if t else [] for t, c in zip(texts, cues)])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = label(shared.value, batch["_t"].tolist())
+            rows = [(k, *span) for k, spans in zip(batch["_k"].tolist(), found) for span in spans]
+            yield pd.DataFrame(rows, columns=[key, "kind", "char_start", "char_end"])
 
-    return seen.select(F.col(key), F.explode(run("_text", "_cues")).alias("s")).select(key, "s.*").distinct()
+    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t")))
+    return rows.mapInPandas(run, f"`{key}` {kind}, kind string, char_start int, char_end int").distinct()
 
 
-def redact(docs: DataFrame, key: str, text: str, model: Model | None = None) -> DataFrame:
+def redact(docs: DataFrame, key: str, text: str, field: Field | None = None) -> DataFrame:
     """(key, redacted): the texts with typed placeholders such as ``[NAME]``; all
-    other characters unchanged. Null stays null."""
-    seen = with_cues(docs, key, text)
-    model = model or fit_cues(seen)
-
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series, cues: pd.Series) -> pd.Series:
-        def of(t: str | None, found) -> str | None:
-            if not t:
-                return t
-            out, at = [], 0
-            for kind, a, b in decode(model, t, _cue_list(found)):
-                out += [t[at:a], f"[{kind.upper()}]"]
-                at = b
-            return "".join([*out, t[at:]])
-
-        return pd.Series([of(t, c) for t, c in zip(texts, cues)])
-
-    return seen.select(key, run("_text", "_cues").alias("redacted"))
+    other characters unchanged. Null stays null; repeated rows stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(field or fit(docs, key, text))
+
+    def placed(t: str | None, spans: list[tuple[str, int, int]]) -> str | None:
+        if not spans:
+            return t
+        out, at = [], 0
+        for kind, a, b in spans:
+            out += [t[at:a], f"[{kind.upper()}]"]
+            at = b
+        return "".join([*out, t[at:]])
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        values = texts.tolist()
+        return pd.Series([placed(t, s) for t, s in zip(values, label(shared.value, values))], dtype=object)
+
+    return spread(docs.select(key, F.col(text).alias("_t"))).select(key, run("_t").alias("redacted"))

@@ -1,7 +1,7 @@
 """Cues of personal information in one text: tokens, patterns, word lists.
 
-The patterns are observations of the model in ``pii``; they also give the weak
-labels its weights are counted from.
+``formats`` are observations of the field in ``crf``. ``cue_spans`` gives the weak labels
+of the texts it is fitted on, and nothing else.
 """
 
 from __future__ import annotations
@@ -60,6 +60,12 @@ PHONE = regex.compile(
     r"|0[1-9]\d{1,4}[ /-]\d{3,5}[ -]?\d{3,5}|0[1-9]\d[ /-]?\d{5}[ -]?\d{3}"
     r"|020\s?\d{4}\s?\d{4}|0[1-9]\d{8,9})(?![\w]|[-./]\d)"
 )
+#: Where an e-mail address may stand: only lines that hold one of these are read for it.
+EMAIL_MARK = regex.compile(
+    r"[@＠]|[\(\[\{]\s?(?:at|собака|ät|arobase)\s?[\)\]\}]|\s(?:at|собака|ät|chez|arobase)\s[\w-]+\s(?:dot|точка|punkt|point)\s", regex.IGNORECASE
+)
+#: Any number of some length, whatever it means.
+NUMBER = regex.compile(r"(?<![\w.+-])[+(]?\p{Lu}{0,2}\d[\p{Lu}\d]*(?:(?:[ .–/()-]{1,3}|,\s?номер\s|\s№\s?)\p{Lu}?\d[\p{Lu}\d]*|[ -][\p{Lu}\d]{1,3}(?=[\s.,;)]|$))*(?!\w)")
 _TOWN = r"\p{Lu}[\p{L}’'-]+(?:[^\S\r\n]\p{Lu}\p{L}+)?"
 _STREET_RU = r"(?:(?:ул\.|улица|наб\.|набережная|пер\.|переулок|просп\.|проспект|пл\.|площадь|бульв\.|бульвар|шоссе)[^\S\r\n]?\p{Lu}[\p{L}-]+|\p{Lu}[\p{L}-]+[^\S\r\n](?:ул\.|улица|наб\.|набережная|пер\.|переулок|просп\.|проспект|пл\.|площадь|бульв\.|бульвар|шоссе))"
 ADDRESS = regex.compile(
@@ -84,10 +90,10 @@ NAME = regex.compile(
     rf"|(?:{_INIT}{_S}){{1,3}}{_CAP}"  # А. Б. Фамилія
     rf"|{_CAP},[^\S\r\n]{_G}(?![^\S\r\n](?!{_PATR}){_CAP})(?:[^\S\r\n]{_PATR}|(?:[^\S\r\n]{_INIT})+(?![\p{{L}}\d]))?"  # Surname, Oliver
     rf"|{_SURNAME_RU}[^\S\r\n](?:{_G}[^\S\r\n]{_PATR}|{_G}(?=[\s,.;:)]|$))"  # Фамилія Имя Отчество
-    rf"|{_SURNAME_RU},?[^\S\r\n]{_INIT}(?:{_S}{_INIT})?)(?!\p{{L}}|['’]\p{{L}})"
+    rf"|{_SURNAME_RU}[^\S\r\n]{_INIT}(?:{_S}{_INIT})?|{_SURNAME_RU},[^\S\r\n]{_INIT}(?:{_S}{_INIT})?+(?!{_S}{_CAP}))(?!\p{{L}}|['’]\p{{L}})"
 )
 HONORED = regex.compile(rf"(?<![\p{{L}}.])(?:[Гг]-(?:жа|жи|жѣ|жею|жу|нъ|на|ну|номъ|н)|гг?\.|Mrs?\.?|Miss|Ms\.?|Dr\.?|Mme|Mlle|Herr|Herrn|Frau|Monsieur|Madame)[^\S\r\n](?P<n>(?:(?:{_INIT}{_S}){{1,3}})?{_CAP}(?:[^\S\r\n](?:{_INIT}{_S})*{_CAP})?(?:,[^\S\r\n]{_G}(?:[^\S\r\n]{_INIT})?(?![^\S\r\n]{_CAP}))?)(?!\p{{L}})")
-LABELLED = regex.compile(rf"(?:Заявитель|Выдал|Applicant|Issued[^\S\r\n]by|Name|Antragsteller|Nom|Demandeur|получатель)[^\S\r\n]?:?[^\S\r\n](?P<n>(?:{_INIT}{_S})*{_CAP}(?:[^\S\r\n](?:{_INIT}{_S})*{_CAP}){{0,2}})(?!\p{{L}})")
+LABELLED = regex.compile(rf"(?:Заявитель|Выдал|Applicant|Issued[^\S\r\n]by|Name|Antragsteller|Nom|Demandeur|получатель)[^\S\r\n]?:?[^\S\r\n](?P<n>{_SURNAME_RU},?[^\S\r\n]{_INIT}(?:{_S}{_INIT})?|(?:{_INIT}{_S})*{_CAP}(?:[^\S\r\n](?:{_INIT}{_S})*{_CAP}){{0,2}}(?:,?[^\S\r\n](?:{_INIT}{_S}){{1,2}}(?!\p{{L}})|,[^\S\r\n]{_G}(?:[^\S\r\n]{_INIT})?)?)(?!\p{{L}})")
 BARE_RU = regex.compile(rf"(?<=[\p{{Ll}},;ъ»)\d][^\S\r\n])(?P<n>{_SURNAME_RU})(?!\p{{L}})")
 QUOTED = regex.compile(r"«[^»\n]{0,200}»")
 THEATRE = regex.compile(r"[Тт]еатр\p{L}*\s(?:\p{Lu}\p{Ll}+\s?){1,2}")
@@ -97,6 +103,7 @@ NO_NAME = set(
     Dear Yours Please My Sehr Meine Auf Für Die Mit Ma Mon Le La Les Madame Monsieur Avec Cordialement Если Мой Моя Роль Номер Дело Для Копию Посылку Бабушка По Прошу Пишите Адрес Театръ Театр Въ В Къ Съ
     Балетъ Балет Опера Первое Новая Новый Авторъ Рисунки Изъ Нельзя Публика Вообще Послѣдній Вторымъ Хористы Покойная Надъ Товарищи Память Лучшими Оставивъ Послѣдніе""".split()
 )
+DIGIT = regex.compile(r"\d")
 TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:['’_][\p{L}\p{N}]+)*|[^\s]")
 SUR_END = regex.compile(_SURNAME_RU)
 
@@ -105,6 +112,27 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text)]
 
 
+def emails(text: str):
+    """Matches of e-mail addresses; lines without a mark of one are passed over."""
+    at = 0
+    while (mark := EMAIL_MARK.search(text, at)) is not None:
+        begin, stop = text.rfind("\n", 0, mark.start()) + 1, text.find("\n", mark.end())
+        stop = len(text) if stop < 0 else stop
+        yield from EMAIL.finditer(text, max(begin, at), stop)
+        at = stop
+
+
+def formats(text: str) -> list[tuple[str, int, int]]:
+    """Number, address and e-mail formats of a text, whatever they stand for."""
+    found = [("email", *m.span()) for m in emails(text)]
+    found += [("address", *m.span()) for m in ADDRESS.finditer(text) if DIGIT.search(m[0])]
+    if DIGIT.search(text):
+        found += [("id", *m.span()) for m in ID.finditer(text)]
+        found += [("phone", *m.span()) for m in PHONE.finditer(text)]
+        found += [("number", *m.span()) for m in NUMBER.finditer(text) if sum(map(str.isdigit, m[0])) >= 5]
+    return found
+
+
 def _name_ok(text: str, a: int, b: int) -> bool:
     first = regex.match(r"\p{L}+", text[a:b])
     return not (first and first[0] in NO_NAME and text[a + len(first[0]) : a + len(first[0]) + 1] != ".")
@@ -120,7 +148,7 @@ def cue_spans(text: str) -> list[tuple[str, int, int]]:
         if b > a and all(b <= x or a >= y for _, x, y in found):
             found.append((kind, a, b))
 
-    for m in EMAIL.finditer(text):
+    for m in emails(text):
         add("email", *m.span())
     barred = [m.span() for m in QUOTED.finditer(text)] + [m.span() for m in THEATRE.finditer(text)]
     for m in ADDRESS.finditer(text):
@@ -146,13 +174,14 @@ def cue_spans(text: str) -> list[tuple[str, int, int]]:
     for pattern in (HONORED, LABELLED):
         for m in pattern.finditer(text):
             name(*m.span("n"))
-    for m in NAME.finditer(text, overlapped=False):
+    at = 0
+    while (m := NAME.search(text, at)) is not None:
         a, b = m.span()
         if _name_ok(text, a, b):
             name(a, b)
+            at = b
         else:  # a capital word before the name itself
-            for n in NAME.finditer(text, a + 1, min(len(text), b + 60)):
-                name(*n.span())
+            at = a + 1
     for m in BARE_RU.finditer(text):
         name(*m.span("n"))
     return sorted(found, key=lambda s: s[1])
