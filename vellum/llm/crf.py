@@ -16,8 +16,11 @@ chain that is that long.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import count
+from operator import itemgetter
 
 import numpy as np
 
@@ -98,80 +101,75 @@ class Block:
 
 
 def _inside(spans: list[tuple[int, int]], at: np.ndarray) -> np.ndarray:
-    """Whether a position lies in one of the spans, which are in order."""
+    """Whether a position lies in one of the spans."""
     if not spans:
         return np.zeros(len(at), dtype=bool)
-    begins, ends = np.array([s[0] for s in spans]), np.maximum.accumulate(np.array([s[1] for s in spans]))
-    k = np.searchsorted(begins, at, side="right") - 1
-    return (k >= 0) & (at < ends[np.maximum(k, 0)])
+    both = np.array(sorted(spans))
+    k = np.searchsorted(both[:, 0], at, side="right") - 1
+    return (k >= 0) & (at < np.maximum.accumulate(both[:, 1])[np.maximum(k, 0)])
 
 
 def read_block(texts: list[str]) -> Block:
     """Tokens, lines, formats, quotation marks and repeats of the texts."""
     block = Block(len(texts))
-    known: dict[str, int] = {}
+    known: dict[str, int] = defaultdict(count().__next__)
     ids: list[int] = []
-    starts, ends, owners, quoted, fresh = [], [], [], [], []
-    at = 0
-    stems: list[str | None] = []
-    groups: list[list[int]] = []
-    for number, text in enumerate(texts):
-        spans = [m.span() for m in TOKEN.finditer(text)]
-        if not spans:
-            continue
-        n = len(spans)
-        for a, b in spans:
-            word = text[a:b]
-            k = known.get(word)
-            if k is None:
-                k = known[word] = len(known)
-                stems.append(stem(word) if b - a >= LINKED and word[0].isupper() else None)
-            ids.append(k)
-        pos = np.array(spans, dtype=np.int64)
-        starts.append(pos[:, 0])
-        ends.append(pos[:, 1])
-        owners.append(np.full(n, number, dtype=np.int64))
-        marks = sorted([m.span() for m in QUOTED.finditer(text)] + [m.span() for m in THEATRE.finditer(text)])
-        quoted.append(_inside(marks, pos[:, 0]))
-        lines = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) == 10) if "\n" in text else np.empty(0)
-        line = np.searchsorted(lines, pos[:, 0])
-        new = np.ones(n, dtype=bool)
-        new[1:] = line[1:] != line[:-1]
-        fresh.append(new)
-        bound = []
+    spans: list[tuple[int, int]] = []
+    sizes, bases = [], []
+    lines: list[int] = []
+    quoted: list[tuple[int, int]] = []
+    bound: list[tuple[int, int]] = []
+    base = 0  # places of all texts set one behind the other
+    for text in texts:
+        own = [m.span() for m in TOKEN.finditer(text)]
+        first_token = len(spans)
+        spans += own
+        ids.extend(map(known.__getitem__, [text[a:b] for a, b in own]))
+        sizes.append(len(own))
+        bases.append(base)
+        at = text.find("\n")
+        while at >= 0:
+            lines.append(base + at)
+            at = text.find("\n", at + 1)
+        for mark in (QUOTED, THEATRE):
+            quoted += [(base + m.start(), base + m.end()) for m in mark.finditer(text)]
         for kind, a, b in formats(text):
-            first, last = int(np.searchsorted(pos[:, 1], a, side="right")), int(np.searchsorted(pos[:, 0], b))
+            first, last = bisect_right(own, a, key=itemgetter(1)), bisect_left(own, b, key=itemgetter(0))
             if kind in ("email", "address"):
-                bound.append((a, b))
-            before = [text[x:y].lower() for x, y in spans[max(0, first - 7) : first] if text[x:y].isalpha()]
-            after = text[slice(*spans[last])].lower() if last < n else "$"
+                bound.append((base + a, base + b))
+            before = [text[x:y].lower() for x, y in own[max(0, first - 7) : first] if text[x:y].isalpha()]
+            after = text[slice(*own[last])].lower() if last < len(own) else "$"
             for j in range(first, last):
                 side = "B" if j == first else "E" if j == last - 1 else "I"
                 seen = [f"f={kind}|{side}", f"f={kind}|{side}|{before[-1] if before else '^'}", f"f={kind}|{side}|>{after}"]
                 seen += [f"f={kind}|{'B' if j == first else 'I'}|*{word}" for word in before]
-                block.formed.append((at + j, seen))
-        free = ~_inside(sorted(bound), pos[:, 0])
-        mine: dict[str, list[int]] = defaultdict(list)
-        for j in range(n):
-            linked = stems[ids[at + j]]
-            if linked is not None and free[j]:
-                mine[linked].append(at + j)
-        groups.extend(g for g in mine.values() if len(g) > 1)
-        at += n
+                block.formed.append((first_token + j, seen))
+        base += len(text) + 1
+    n = len(spans)
     block.words = list(known)
     block.ids = np.array(ids, dtype=np.int64)
-    cat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, dtype=kind)
-    block.start, block.end, block.text = cat(starts, np.int64), cat(ends, np.int64), cat(owners, np.int64)
-    block.quoted = cat(quoted, bool)
-    new = cat(fresh, bool)
+    both = np.array(spans, dtype=np.int64).reshape(-1, 2)
+    block.start, block.end = both[:, 0], both[:, 1]
+    block.text = np.repeat(np.arange(len(texts)), sizes)
+    place = block.start + np.array(bases, dtype=np.int64)[block.text] if n else block.start
+    block.quoted = _inside(quoted, place)
+    line = np.searchsorted(np.array(lines, dtype=np.int64), place)
+    new = np.ones(n, dtype=bool)
+    new[1:] = (line[1:] != line[:-1]) | (block.text[1:] != block.text[:-1])
     firsts = np.flatnonzero(new)
-    lengths = np.diff(np.append(firsts, len(new)))
+    lengths = np.diff(np.append(firsts, n))
     order = np.argsort(-lengths, kind="stable")
     block.chains = (firsts[order], lengths[order])
-    block.groups = [np.array(g) for g in groups]
-    block.repeat = np.zeros(len(new), dtype=np.int64)
-    for g in block.groups:
-        block.repeat[g] = 1
+    numbers: dict[str, int] = defaultdict(count().__next__)
+    stems = np.array([numbers[stem(w)] if len(w) >= LINKED and w[0].isupper() else -1 for w in block.words], dtype=np.int64)
+    linked = np.flatnonzero((stems[block.ids] >= 0) & ~_inside(bound, place)) if n else np.empty(0, dtype=np.int64)
+    key = block.text[linked] * (len(numbers) + 1) + stems[block.ids[linked]]
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.diff(key[order])) + 1
+    block.groups = [g for g in np.split(linked[order], cuts) if len(g) > 1]
+    block.repeat = np.zeros(n, dtype=np.int64)
+    if block.groups:
+        block.repeat[np.concatenate(block.groups)] = 1
     return block
 
 
@@ -434,7 +432,7 @@ class Field:
 
     # fitting
 
-    def fit(self, blocks: list[Block], labels: list[np.ndarray], rounds: int = 10, rate: float = 0.3, shrink: float = 2e-6) -> Field:
+    def fit(self, blocks: list[Block], labels: list[np.ndarray], rounds: int = 8, rate: float = 0.3, shrink: float = 2e-6) -> Field:
         """Weights of the given labels by maximum likelihood (adaptive steps over the
         blocks); features come from the blocks. The same input gives the same weights."""
         seen: Counter = Counter()

@@ -27,7 +27,7 @@ _REFORM_UP = str.maketrans("ѢІѲѴЁ", "ЕИФИЕ")
 
 
 def reformed(word: str) -> str:
-    return regex.sub(r"[ъЪ]$", "", word.translate(_REFORM).translate(_REFORM_UP)).lower()
+    return word.translate(_REFORM).translate(_REFORM_UP).removesuffix("ъ").removesuffix("Ъ").lower()
 
 
 GIVEN = {g.lower() for g in GIVEN_NAMES} | {reformed(g) for g in GIVEN_NAMES_RU}
@@ -125,8 +125,8 @@ def emails(text: str):
 def formats(text: str) -> list[tuple[str, int, int]]:
     """Number, address and e-mail formats of a text, whatever they stand for."""
     found = [("email", *m.span()) for m in emails(text)]
-    found += [("address", *m.span()) for m in ADDRESS.finditer(text) if DIGIT.search(m[0])]
     if DIGIT.search(text):
+        found += [("address", *m.span()) for m in ADDRESS.finditer(text) if DIGIT.search(m[0])]
         found += [("id", *m.span()) for m in ID.finditer(text)]
         found += [("phone", *m.span()) for m in PHONE.finditer(text)]
         found += [("number", *m.span()) for m in NUMBER.finditer(text) if sum(map(str.isdigit, m[0])) >= 5]
