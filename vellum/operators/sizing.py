@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow lookup side may be broadcast (a few MB).
-BROADCAST_ROWS = 200_000
+from vellum.session import written_bytes
+
+#: Bytes of compressed files, and rows, up to which a narrow side may be broadcast.
+BROADCAST_BYTES, BROADCAST_ROWS = 2_000_000, 200_000
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether the frame has at most ``limit`` rows; reads no more than it must."""
+    """Whether the frame may be broadcast: by the size of its files where it was
+    written, else by its rows, of which no more than the limit are counted."""
+    size = written_bytes(df)
+    if size is not None:
+        return size <= BROADCAST_BYTES
     return df.limit(limit + 1).count() <= limit
 
 

@@ -6,10 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MARKED: set[str] = set()
+_OPEN: list[list[DataFrame]] = []
 
 
 def get_spark(app: str = "vellum", cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -33,11 +38,13 @@ def get_spark(app: str = "vellum", cores: str = "*", partitions: int = 8, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where that is
-    unset (tests, one machine) a temporary folder of this process."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset
+    a temporary folder of this process serves a local master; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="vellum-")
@@ -45,31 +52,78 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write to the shared folder as Parquet and read it again.
 
     Cuts the lineage like a reliable checkpoint, but stays columnar and gives the
-    optimizer true sizes. The files survive the loss of any executor.
+    optimizer true sizes. The files survive the loss of any executor. They belong to
+    the innermost open ``scratch`` and go with it; others go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}"
+    if home not in _MARKED:
+        _MARKED.add(home)
+        fs, target = _hadoop(spark, home)
+        fs.deleteOnExit(target)
+    path = f"{home}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vellum_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
 def release(df: DataFrame) -> None:
     """Delete the files of a materialized frame that no later frame reads."""
     path = getattr(df, "_vellum_path", None)
+    if path is not None:
+        fs, target = _hadoop(df.sparkSession, path)
+        fs.delete(target, True)
+
+
+def written_bytes(df: DataFrame) -> int | None:
+    """Bytes of a materialized frame's files, null for any other frame; no job."""
+    path = getattr(df, "_vellum_path", None)
     if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        return None
+    fs, target = _hadoop(df.sparkSession, path)
+    return int(fs.getContentSummary(target).getLength())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Frames materialized inside are deleted at the end."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for df in _OPEN.pop():
+            release(df)
+
+
+def settled(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its result written and all its other tables deleted."""
+
+    @wraps(make)
+    def run(*args, **kwargs) -> DataFrame:
+        with scratch():
+            result = make(*args, **kwargs)
+            own = _OPEN.pop()
+            try:
+                return materialize(result)  # belongs to the scratch around, if any
+            finally:
+                _OPEN.append(own)
+
+    return run
 
 
 def num_slots(spark: SparkSession) -> int:
