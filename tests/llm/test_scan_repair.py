@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from vellum.llm.scan_repair import confusion_cost, find_noise, noise_kinds, repaired
+from vellum.llm.scan_repair import _slips, confusion_cost, find_noise, noise_kinds, repaired, surely
 
 PLAIN = "Къ сожалѣнію, крестьянская пляска потеряла въ живости, и баллада-пантомима была повторена дважды. Новая занавѣсь заслуживаетъ полнаго одобренія."
 FIELDS = "block_id string, value string, heading boolean, page int"
@@ -38,6 +39,31 @@ def test_costs():
     assert confusion_cost("картина", "картипа") == 1.0
     assert confusion_cost("дважды", "дваждьі") == 0.4
     assert confusion_cost("картина", "картинахъ") == float("inf")
+    assert confusion_cost("обозрѣніе", "060зрѣніе") == pytest.approx(0.9)  # three slips
+    assert confusion_cost("желаніе", "я;елапіе") == pytest.approx(1.3)
+
+
+def test_sure_letters():
+    assert surely("06озрЬніе") == "обозрѣніе"
+    assert surely("ОБ03РѢНІЕ") == "ОБОЗРѢНІЕ"
+    assert surely("слуя;ба") == "служба" and surely("слово") == "слово"
+
+
+def test_context_picks_the_repair(spark):
+    """One misreading of two words is repaired by the word before."""
+    rows = [("глубокая", "нора", 20), ("поймали", "вора", 20), ("глубокая", "пора", 1), ("поймали", "пора", 1), ("въ", "з0л0т0", 1)]
+    pairs = spark.createDataFrame(rows, "before string, w string, k long")
+    got = {(r.before, r.w): r.right for r in _slips(pairs, pairs.groupBy("w").agg(F.sum("k").alias("n"))).collect()}
+    assert got == {("глубокая", "пора"): "нора", ("поймали", "пора"): "вора", ("въ", "з0л0т0"): "золото"}
+
+
+def test_long_lines_and_long_heads(spark):
+    """A head of any length is learned; words far behind in a line count."""
+    head = "Опера и балетъ " + "въ театрахъ столицы и провинціи " * 4 + "за годъ"
+    rows = [(f"m{i}", f"Новая занавѣсь\n{head}\nзаслуживаетъ полнаго", False, 1) for i in range(4)]
+    rows.append(("far", "слово " * 60 + "Новая занавѣсь", False, 1))
+    got = noise_kinds(find_noise(spark.createDataFrame(rows, FIELDS), ["block_id"], "value", "heading")).collect()
+    assert {(r.block_id, r.noise) for r in got} == {(f"m{i}", "running_head") for i in range(4)}
 
 
 def test_kinds(found):
