@@ -1,4 +1,8 @@
-from vellum.llm.canonical_list import map_titles, match_entries, osa
+import random
+
+import pandas as pd
+
+from vellum.llm.canonical_list import _entry_pieces, _value_pieces, map_titles, match_entries, osa, whole_edits
 
 WORKS = [
     ("w1", "Снѣжный часовщикъ", "бал.", "соч. Женмоговъ, 1896"),
@@ -49,3 +53,34 @@ def test_clashing_columns(spark):
     entries = spark.createDataFrame([("Бархатный поединокъ", 1)], "value string, word int")
     got = match_entries(values, "entry", entries, "value").collect()
     assert [(r.value, r.entry) for r in got] == [("бархатный поедино", "Бархатный поединокъ")]
+
+
+def test_short_words(spark):
+    """Titles of short words are matched exactly; short words rank titles that differ in them."""
+    works = spark.createDataFrame([("a", "Ея", None, None), ("b", "Ея жизнь", None, None), ("c", "Жизнь", None, None), ("d", "Я и ты", None, None)], WORK)
+    rows = [(1, "Ея", "a"), (2, "ея жизнь", "b"), (3, "Жизнь", "c"), (4, "я и ты", "d"), (5, "Я", "none"), (6, "Юя", "none"), (7, "жизнь ея", "b"), (8, "Его жиизнь", "none")]
+    typed = spark.createDataFrame([(i, t, None) for i, t, _ in rows], "same_title_id long, verbatim_title string, work_key string")
+    assert {r.same_title_id: r.work_id for r in map_titles(typed, works).collect()} == {i: w for i, _, w in rows}
+
+
+def test_pieces_lose_nothing():
+    """Letters within the edits allowed always share a piece with the entry."""
+    rng = random.Random(7)
+    for _ in range(3000):
+        entry = "".join(rng.choice("абвг") for _ in range(rng.randint(1, 22)))
+        value = list(entry)
+        for _ in range(whole_edits(len(entry))):
+            at = rng.randrange(len(value)) if value else 0
+            how = rng.random()
+            if how < 0.3 and value:
+                del value[at]
+            elif how < 0.6:
+                value.insert(at, rng.choice("абвг"))
+            elif how < 0.8 and value:
+                value[at] = rng.choice("абвг")
+            elif at + 1 < len(value):
+                value[at], value[at + 1] = value[at + 1], value[at]
+        typed = "".join(value)
+        if osa(typed, entry) <= whole_edits(len(entry)):
+            a, b = (f.func(pd.Series([x]))[0] for f, x in ((_value_pieces, typed), (_entry_pieces, entry)))
+            assert set(a) & set(b)

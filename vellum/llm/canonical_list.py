@@ -3,9 +3,12 @@
 Token-level repair: every distinct typed token is joined to the vocabulary of the
 list by edit distance (candidates meet on symmetric deletions, an equi-join; the
 distance is then computed for these only). Abbreviated tokens meet prefixes, glued
-ones are cut in two. The repaired tokens of a value are then compared with whole
-entries by soft TF-IDF. A last exact check lets an entry stand only if every token
-of the value and of the entry found its counterpart.
+ones are cut in two. The repaired tokens of a value then rank whole entries by soft
+TF-IDF: a value meets the entries whose rarest word it holds, as an entry stands only
+if each of its words found its counterpart. Words of one or two letters are compared
+exactly; they weigh in the ranking, and decide where a title has no others. Values
+that match no entry by tokens, as when a blank moved, meet entries on pieces of their
+letters that few edits must leave whole.
 """
 
 from __future__ import annotations
@@ -13,24 +16,23 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.charforms import consistent
 from vellum.operators.sizing import lookup
-from vellum.session import materialize
+from vellum.session import materialize, settled
 
 #: Words around a title that aren't part of it, in folded spelling.
 CARRIER_WORDS = [
     "балет", "бал", "опера", "оп", "драма", "др", "комедия", "ком", "дивертисм", "дивертисмент", "феерия", "сцена", "сцены",
     "актъ", "акт", "действие", "картина", "карт", "отрывок", "из", "въ", "первый", "раз", "новая", "пост", "постановка", "разъ", "изъ",
 ]
-_WORD = regex.compile(r"\p{L}+\.?")
-#: Shortest token that is compared; shorter ones are particles and articles.
+#: Tokens from this length on may hold slips, and must find their counterpart; shorter
+#: ones are compared exactly and must only where a title has no longer ones.
 SHORTEST = 3
-#: Soft TF-IDF that an entry must reach at least.
+#: Soft TF-IDF that an entry must reach at least, over the tokens that must be found.
 LEAST_SCORE = 0.75
 #: A token typed this often, and at least this share as often as a word of the list
 #: near it, is a word of its own and no slip.
@@ -48,9 +50,18 @@ def fold(text: Column) -> Column:
 
 
 def tokens(folded: Column) -> Column:
-    """Words with a following abbreviation point, shortest first dropped."""
-    words = F.regexp_extract_all(folded, F.lit(r"(\p{L}+\.?)"), F.lit(1))
-    return F.filter(words, lambda w: F.length(F.rtrim(w, F.lit("."))) >= SHORTEST)
+    """Words with a following abbreviation point."""
+    return F.regexp_extract_all(folded, F.lit(r"(\p{L}+\.?)"), F.lit(1))
+
+
+def bare_token(token: Column) -> Column:
+    return F.rtrim(token, F.lit("."))
+
+
+def required(token: Column, all_tokens: Column) -> Column:
+    """Whether the token must find its counterpart."""
+    long = lambda w: F.length(bare_token(w)) >= SHORTEST
+    return long(token) | ~F.exists(all_tokens, long)
 
 
 @lru_cache(maxsize=200_000)
@@ -95,22 +106,24 @@ def allowed(length: Column) -> Column:
 
 
 def repair_tokens(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(token, word, sim) for distinct ``typed.token`` and ``vocabulary.word``.
+    """(token, word, sim) for distinct ``typed.token`` and ``vocabulary.word``, where
+    ``vocabulary.carrier`` marks words around titles.
 
     A token that is itself in the vocabulary isn't repaired. A token with a point may
     stand for a word it begins; a token close to nothing is cut in two where both
     halves are words (then it gives two rows).
     """
-    bare = F.rtrim(F.col("token"), F.lit("."))
+    bare = bare_token(F.col("token"))
     base = typed.select("token", bare.alias("bare"), F.col("token").endswith(".").alias("cut")).distinct()
     base = materialize(base)
-    whole = vocabulary.select("word", F.col("word").alias("surface"), F.lit(False).alias("short"))
+    whole = vocabulary.where((F.length("word") >= SHORTEST) | F.col("carrier")).select("word", F.col("word").alias("surface"), F.lit(False).alias("short"))
     starts = vocabulary.where(F.length("word") > SHORTEST + 1).select(
         "word", F.explode(F.transform(F.sequence(F.lit(SHORTEST), F.length("word") - 1), lambda n: F.left("word", n))).alias("surface")
     )
     surfaces = materialize(whole.unionByName(starts.withColumn("short", F.lit(True))))
-    exact = base.join(lookup(vocabulary), base.bare == vocabulary.word).select("token", "word", F.lit(1.0).alias("sim"), F.lit(False).alias("half"))
-    rest = base.join(vocabulary.withColumnRenamed("word", "bare"), "bare", "left_anti")
+    listed = vocabulary.select("word")
+    exact = base.join(lookup(listed), base.bare == listed.word).select("token", "word", F.lit(1.0).alias("sim"), F.lit(False).alias("half"))
+    rest = base.join(listed.withColumnRenamed("word", "bare"), "bare", "left_anti").where(F.length("bare") >= SHORTEST)
     near = _near(rest, surfaces)
     alone = rest.join(near.select("token").distinct(), "token", "left_anti").where(F.length("bare") >= 2 * SHORTEST)
     cuts = alone.select("token", "bare", F.explode(F.sequence(F.lit(SHORTEST), F.length("bare") - SHORTEST)).alias("at"))
@@ -127,10 +140,53 @@ def repair_tokens(typed: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return found.groupBy("token", "word").agg(F.max("sim").alias("sim"), F.max("half").alias("half"))
 
 
-def _letters(folded: str | None, carrying: list[str] | None) -> str:
+def _letters(folded: Column, carrying: Column) -> Column:
     """The letters of a folded value in order, without its carrying words."""
-    skip = set(carrying or [])
-    return "".join(w.rstrip(".") for w in _WORD.findall(folded or "") if w not in skip)
+    return F.array_join(F.transform(F.filter(tokens(folded), lambda w: ~F.array_contains(carrying, w)), bare_token), "")
+
+
+def whole_edits(length: int) -> int:
+    """Edits that letters of an entry of that length may hold."""
+    return min(WHOLE_EDITS, int(length * WHOLE_SHARE))
+
+
+def pieces(length: int) -> list[tuple[int, int]]:
+    """(start, end) of pieces of an entry of that length, one more than the edits it
+    may hold, with a letter between them: an edit, even a swap of neighbours, reaches
+    into one piece only, so at least one is left whole."""
+    n = whole_edits(length) + 1
+    room = length - (n - 1)
+    out, at = [], 0
+    for i in range(n):
+        size = room * (i + 1) // n - room * i // n
+        out.append((at, at + size))
+        at += size + 1
+    return out
+
+
+_STRINGS = T.ArrayType(T.StringType())
+
+
+@F.pandas_udf(_STRINGS)
+def _entry_pieces(letters: pd.Series) -> pd.Series:
+    return letters.map(lambda s: [f"{len(s)}/{i}/{s[a:b]}" for i, (a, b) in enumerate(pieces(len(s)))], na_action="ignore")
+
+
+@F.pandas_udf(_STRINGS)
+def _value_pieces(letters: pd.Series) -> pd.Series:
+    """Keys of all entries' pieces that a value could hold."""
+
+    def of(s: str) -> list[str]:
+        keys = set()
+        for length in range(max(1, len(s) - WHOLE_EDITS), len(s) + WHOLE_EDITS + 1):
+            most = whole_edits(length)
+            if abs(length - len(s)) > most:
+                continue
+            for i, (a, b) in enumerate(pieces(length)):
+                keys |= {f"{length}/{i}/{s[a + d : b + d]}" for d in range(-most, most + 1) if a + d >= 0 and b + d <= len(s)}
+        return list(keys)
+
+    return letters.map(of, na_action="ignore")
 
 
 def _near(base: DataFrame, surfaces: DataFrame, most: int = 2) -> DataFrame:
@@ -156,6 +212,7 @@ def _own_words(repairs: DataFrame, parts: DataFrame) -> DataFrame:
     return counted.where(~(own & (F.col("used") >= OWN_SHARE * F.coalesce("word_used", F.lit(0))))).drop("bare", "used", "word_used")
 
 
+@settled
 def match_entries(values: DataFrame, value: str, entries: DataFrame, entry: str, carriers: list[str] | None = None) -> DataFrame:
     """Best entries of the list for every distinct value: (value, entry, score).
 
@@ -164,24 +221,23 @@ def match_entries(values: DataFrame, value: str, entries: DataFrame, entry: str,
     """
     spark = values.sparkSession
     typed = values.groupBy(F.col(value).alias("value")).count().where("value is not null")
-    typed = materialize(typed.withColumn("folded", fold(F.col("value"))))
-    listed = entries.select(F.col(entry).alias("entry")).where("entry is not null").distinct()
-    listed = materialize(listed.withColumn("t", F.array_distinct(tokens(fold(F.col("entry"))))))
-    words = listed.select("entry", F.size("t").alias("n"), F.explode("t").alias("w")).select(
-        "entry", "n", F.rtrim("w", F.lit(".")).alias("word")
-    )
+    typed = materialize(typed.select("value", fold(F.col("value")).alias("folded")))
+    listed = entries.select(F.col(entry).alias("entry")).where("entry is not null").distinct().withColumn("folded", fold(F.col("entry")))
+    listed = materialize(listed.withColumn("t", F.array_distinct(F.transform(tokens(F.col("folded")), bare_token))))
+    words = materialize(listed.select("entry", F.explode("t").alias("word"), "t").select("entry", "word", required(F.col("word"), F.col("t")).alias("req")))
     total = listed.count()
-    weights = materialize(words.groupBy("word").agg((F.lit(1.0) + F.log(F.lit(float(total)) / F.countDistinct("entry"))).alias("idf")))
+    weights = materialize(words.groupBy("word").agg((F.lit(1.0) + F.log(F.lit(float(max(total, 1))) / F.countDistinct("entry"))).alias("idf")))
     carrying = spark.createDataFrame([(w,) for w in (carriers or [])], "word string")
     vocabulary = materialize(
         weights.select("word", F.lit(False).alias("carrier"))
         .unionByName(carrying.join(weights, "word", "left_anti").withColumn("carrier", F.lit(True)))
     )
-    parts = materialize(typed.select("folded", F.posexplode(tokens(F.col("folded"))).alias("at", "token")).distinct())
-    repairs = _own_words(repair_tokens(parts.select("token"), vocabulary.select("word")), parts).join(lookup(vocabulary), "word")
+    parts = typed.select("folded").distinct().withColumn("t", tokens(F.col("folded")))
+    parts = materialize(parts.select("folded", F.posexplode("t").alias("at", "token"), "t").select("folded", "at", "token", required(F.col("token"), F.col("t")).alias("req")))
+    repairs = _own_words(repair_tokens(parts.select("token"), vocabulary), parts).join(lookup(vocabulary), "word")
     best = F.max(F.struct("sim", (~F.col("carrier")).alias("own"))).over(Window.partitionBy("token"))
     # a token that is nearest to a carrying word carries
-    repairs = materialize(repairs.withColumn("best", best).withColumn("carries", ~F.col("best.own")).drop("best"))
+    repairs = materialize(repairs.withColumn("carries", ~best["own"]))
     rarest = F.lit(1.0 + 1.0) + F.log(F.lit(float(max(total, 1))))
     hits = (
         parts.join(lookup(repairs), "token", "left")
@@ -192,37 +248,55 @@ def match_entries(values: DataFrame, value: str, entries: DataFrame, entry: str,
     # a glued token counts for each of its halves
     slot = F.when(F.col("half"), F.concat_ws("/", "at", "word")).otherwise(F.col("at").cast("string"))
     hits = materialize(hits.withColumn("slot", slot))
-    whole = hits.groupBy("folded", "slot").agg(F.max(F.coalesce("idf", rarest)).alias("w"), F.max("half").alias("half"), F.min("at").alias("at"))
+    whole = hits.groupBy("folded", "slot").agg(F.max(F.coalesce("idf", rarest)).alias("w"), F.max("half").alias("half"), F.min("at").alias("at"), F.max("req").alias("req"), F.max(F.col("word").isNotNull()).alias("known"))
+    # short words that no entry has are particles of the typist's
+    weight = F.when(~F.col("half"), F.col("w") * F.col("w")).otherwise(0)
     value_norm = whole.groupBy("folded").agg(
-        F.sum(F.when(F.col("half"), 0).otherwise(F.col("w") * F.col("w"))).alias("sq"),
-        F.countDistinct("at").alias("n_value"),
+        F.sum(F.when(F.col("req") | F.col("known"), weight)).alias("sq"),
+        F.sum(F.when(F.col("req"), weight)).alias("sq_req"),
+        F.count_distinct(F.when(F.col("req"), F.col("at"))).alias("n_value"),
     )
-    entry_norm = words.join(lookup(weights), "word").groupBy("entry").agg(
-        F.sum(F.col("idf") * F.col("idf")).alias("sq_entry"), F.first("n").alias("n_entry")
+    weighed = materialize(words.join(lookup(weights), "word"))
+    entry_norm = materialize(
+        weighed.groupBy("entry").agg(
+            F.sum(F.col("idf") * F.col("idf")).alias("sq_entry"),
+            F.sum(F.when(F.col("req"), F.col("idf") * F.col("idf"))).alias("sq_entry_req"),
+            F.count_if("req").alias("n_entry"),
+            F.max(F.when(F.col("req"), F.struct("idf", "word"))).alias("rare"),
+        )
     )
-    pairs = hits.where("word is not null").join(lookup(words.select("entry", "word")), "word")
-    one = pairs.groupBy("folded", "entry", "word").agg(F.max("sim").alias("sim"), F.max("idf").alias("idf"), F.collect_set("at").alias("ats"))
+    # an entry stands only where its rarest word is met, so no other word brings it up
+    found = hits.where("word is not null").select("folded", "word", "sim", "idf", "at")
+    brought = found.select("folded", "word").distinct().join(lookup(entry_norm.select("entry", F.col("rare.word").alias("word"))), "word").select("folded", "entry")
+    pairs = brought.join(found, "folded").join(lookup(words.select("entry", "word", "req")), ["entry", "word"])
+    one = pairs.groupBy("folded", "entry", "word").agg(F.max("sim").alias("sim"), F.max("idf").alias("idf"), F.max("req").alias("req"), F.collect_set("at").alias("ats"))
     scored = one.groupBy("folded", "entry").agg(
         F.sum(F.col("sim") * F.col("idf") * F.col("idf")).alias("dot"),
-        F.count("*").alias("m_entry"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("m_value"),
+        F.sum(F.when(F.col("req"), F.col("sim") * F.col("idf") * F.col("idf"))).alias("dot_req"),
+        F.count_if("req").alias("m_entry"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("req"), F.col("ats")).otherwise(F.array().cast("array<int>")))))).alias("m_value"),
     )
-    ranked = materialize(
+    covered = materialize(
         scored.join(lookup(entry_norm), "entry")
         .join(value_norm, "folded")
         .withColumn("score", F.col("dot") / F.sqrt(F.col("sq_entry") * F.greatest("sq", "sq_entry")))
+        .withColumn("least", F.col("dot_req") / F.sqrt(F.col("sq_entry_req") * F.greatest("sq_req", "sq_entry_req")))
+        .where((F.col("m_entry") == F.col("n_entry")) & (F.col("m_value") >= F.col("n_value")) & (F.col("least") >= LEAST_SCORE))
+        .select("folded", "entry", "score")
     )
-    covered = ranked.where((F.col("m_entry") == F.col("n_entry")) & (F.col("m_value") == F.col("n_value")) & (F.col("score") >= LEAST_SCORE))
     # values with a moved or lost blank: the letters decide, without carrying words
-    left = ranked.join(covered.select("folded").distinct(), "folded", "left_anti").select("folded", "entry", "score")
-    bare = F.udf(_letters, T.StringType())
+    left = typed.select("folded").distinct().join(covered.select("folded").distinct(), "folded", "left_anti")
     carried = repairs.where("carries").select("token").distinct()
     said = parts.join(lookup(carried), "token", "left_semi").groupBy("folded").agg(F.collect_set("token").alias("carrying"))
-    near = left.join(said, "folded", "left").withColumn("a", bare("folded", "carrying")).withColumn("b", bare(fold(F.col("entry")), F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    spelt = left.join(said, "folded", "left").select("folded", _letters(F.col("folded"), F.coalesce("carrying", none)).alias("a")).where("a <> ''")
+    titles = listed.select("entry", _letters(F.col("folded"), none).alias("b")).where("b <> ''")
+    keys = materialize(titles.select("entry", "b", F.explode(_entry_pieces("b")).alias("key")))
+    near = spelt.select("folded", "a", F.explode(_value_pieces("a")).alias("key")).join(lookup(keys), "key").select("folded", "a", "entry", "b").distinct()
     most = F.least(F.lit(WHOLE_EDITS), F.floor(F.length("b") * WHOLE_SHARE))
-    slips = near.where(F.levenshtein("a", "b", 2 * WHOLE_EDITS) >= 0).withColumn("d", edit_distance(F.col("a"), F.col("b"))).where(F.col("d") <= most)
+    slips = near.withColumn("d", edit_distance(F.col("a"), F.col("b"))).where(F.col("d") <= most)
     slips = slips.withColumn("score", F.lit(LEAST_SCORE) - F.col("d") * 0.01).select("folded", "entry", "score")
-    ranked = covered.select("folded", "entry", "score").unionByName(slips)
+    ranked = covered.unionByName(slips)
     top = ranked.withColumn("most", F.max("score").over(Window.partitionBy("folded"))).where("score >= most - 1e-9")
     return typed.join(top.select("folded", "entry", "score"), "folded").select("value", "entry", "score")
 
@@ -239,6 +313,7 @@ def work_keys(key: Column) -> tuple[Column, Column]:
     return F.regexp_extract(folded, r"(\p{L}{3,})", 1), F.regexp_extract(folded, r"(\d{4}|\d{2})(?!\d)", 1)
 
 
+@settled
 def map_titles(typed: DataFrame, works: DataFrame) -> DataFrame:
     """(same_title_id, work_id, score): the work each typed title means, or ``none``.
 
