@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from vellum.llm.mixing import mixture_report, poisson_below, poisson_mixture
+from vellum.llm.mixing import mixture_report, poisson_below, poisson_mixture, rate_bound
 
 
 def sizes(spark, n=4000):
@@ -48,3 +48,19 @@ def test_nulls_repeats_empty(spark):
     assert poisson_mixture(df.limit(0), targets(spark)).collect() == []
     assert poisson_mixture(df, targets(spark, [])).collect() == []
     assert poisson_mixture(df, targets(spark, [*TARGETS, ("absent", 0.1, 2)])).collect() == []
+
+
+def test_high_caps_meet_the_target(spark):
+    """Four documents that may come a hundred times come as often as their share asks."""
+    sizes_ = spark.createDataFrame([(i, "few", 10) for i in range(4)] + [(100 + i, "many", 10) for i in range(720)], "doc_id long, source string, n_tokens int")
+    goals = targets(spark, [("few", 0.05, 100), ("many", 0.95, 1)])
+    got = {r.source: r for r in mixture_report(poisson_mixture(sizes_, goals), goals).collect()}
+    assert got["many"].n_copies == 720 and abs(got["few"].n_copies - 38) <= 1
+    more = targets(spark, [("few", 0.333, 100), ("many", 0.667, 1)])
+    got = {r.source: r for r in mixture_report(poisson_mixture(sizes_, more), more).collect()}
+    assert abs(got["few"].n_copies - 359) <= 2 and got["few"].most_repeats <= 100
+
+
+def test_rate_bound():
+    for cap in (1, 2, 10, 100, 900):
+        assert poisson_below(cap, np.array([rate_bound(cap)]))[0] < 2.0**-53

@@ -27,6 +27,8 @@ VOCABULARY = os.environ.get("VELLUM_TOKENIZERS", "/opt/tokenizers") + "/byte_bpe
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces whose ids a worker remembers.
 REMEMBERED = 200_000
+#: Pairs of tokens whose answer a worker remembers.
+REMEMBERED_PAIRS = 1_000_000
 
 
 class PrefixEncoder:
@@ -68,6 +70,8 @@ class PrefixEncoder:
         key = (left, right)
         known = self._follows.get(key)
         if known is None:
+            if len(self._follows) >= REMEMBERED_PAIRS:
+                self._follows.clear()
             known = self._follows[key] = self.merge(self.words[left] + self.words[right]) == [left, right]
         return known
 

@@ -12,17 +12,16 @@ labels are then resolved from the last round back to the first.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.session import materialize, release
+from vellum.session import materialize, release, settled
 
 #: Edges a cell should hold; a cell's union-find needs about 200 bytes an edge.
-CELL_EDGES = 400_000
+CELL_EDGES = 50_000
 
 
 def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,16 +45,12 @@ def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, names[np.asarray(parent, dtype=np.int64)] if len(names) else names
 
 
-def _cell_union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    left, right = [], []
-    for batch in batches:
-        left.append(batch["u"].to_numpy())
-        right.append(batch["v"].to_numpy())
-    if left:
-        names, roots = local_roots(np.concatenate(left), np.concatenate(right))
-        yield pd.DataFrame({"v": names, "root": roots})
+def _cell_union(cell: pd.DataFrame) -> pd.DataFrame:
+    names, roots = local_roots(cell["u"].to_numpy(), cell["v"].to_numpy())
+    return pd.DataFrame({"v": names, "root": roots})
 
 
+@settled
 def connected_components(edges: DataFrame, a: str, b: str, *, cell_edges: int = CELL_EDGES, max_rounds: int = 40) -> DataFrame:
     """(vertex, component) for every vertex with a partner; component is the
     smallest vertex of the group in the order of the column's type.
@@ -78,8 +73,9 @@ def connected_components(edges: DataFrame, a: str, b: str, *, cell_edges: int =
         side = max(1, math.ceil(math.sqrt(count / cell_edges)))
         salt = F.lit(len(rounds))
         block = lambda c: F.pmod(F.xxhash64(F.col(c), salt), F.lit(side)).cast("int")
-        cells = todo.repartition(side * side, block("u"), block("v"))
-        stars = cells.mapInPandas(_cell_union, f"v {kind}, root {kind}")
+        # one group a cell: a task never holds more than one cell in memory
+        cells = todo.withColumn("cell", block("u").cast("long") * side + block("v")).groupBy("cell")
+        stars = cells.applyInPandas(_cell_union, f"v {kind}, root {kind}")
         # at most 2 * side representatives of a vertex, one from each cell it is in
         known = materialize(stars.groupBy("v").agg(F.array_sort(F.collect_set("root")).alias("r")))
         rounds.append(known)

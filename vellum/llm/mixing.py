@@ -24,8 +24,6 @@ from vellum.session import materialize
 
 #: Bins of each refinement of the rate's histogram, and refinements.
 BINS, REFINEMENTS = 512, 4
-#: Rates beyond this give every document its cap.
-MOST_RATE = 60.0
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -35,29 +33,42 @@ def uniform(key: Column, seed: int) -> Column:
 
 
 def poisson_below(k: int, rate: np.ndarray) -> np.ndarray:
-    """P(count < k) at each rate."""
-    term = np.exp(-rate)
-    total = term.copy()
+    """P(count < k) at each rate, for rates of any size."""
+    with np.errstate(divide="ignore"):
+        log_rate = np.log(rate)
+    total = np.exp(-rate)
     for i in range(1, k):
-        term = term * rate / i
-        total += term
+        total = total + np.exp(i * log_rate - rate - math.lgamma(i + 1))
     return total
 
 
+def rate_bound(cap: int) -> float:
+    """A rate at which every document is drawn as often as the cap allows: beyond it
+    the chance of fewer copies is under the smallest number ``uniform`` gives."""
+    rate = cap + 40.0
+    while poisson_below(cap, np.array([rate]))[0] > 2.0**-54:
+        rate *= 1.25
+    return float(rate)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _entry_rates(u: pd.Series, cap: pd.Series) -> pd.Series:
     """For each copy up to the cap the smallest rate at which it is drawn."""
     u_, caps = u.to_numpy(), cap.fillna(0).to_numpy().astype(int)
-    most = int(caps.max()) if len(caps) else 0
-    found = np.zeros((len(u_), most))
-    for k in range(1, most + 1):
-        low, high = np.zeros(len(u_)), np.full(len(u_), MOST_RATE)
-        for _ in range(50):
-            middle = (low + high) / 2
-            drawn = poisson_below(k, middle) <= u_
-            high, low = np.where(drawn, middle, high), np.where(drawn, low, middle)
-        found[:, k - 1] = high
-    return pd.Series([found[i, : caps[i]].tolist() for i in range(len(u_))])
+    out: list[list[float]] = [[] for _ in u_]
+    for most in np.unique(caps[caps > 0]):
+        rows = np.flatnonzero(caps == most)
+        bound, mine, found = rate_bound(int(most)), u_[rows], np.zeros((len(rows), most))
+        for k in range(1, most + 1):
+            low, high = found[:, k - 2].copy() if k > 1 else np.zeros(len(rows)), np.full(len(rows), bound)
+            for _ in range(50):
+                middle = (low + high) / 2
+                drawn = poisson_below(k, middle) <= mine
+                high, low = np.where(drawn, middle, high), np.where(drawn, low, middle)
+            found[:, k - 1] = high
+        for i, rates in zip(rows, found.tolist()):
+            out[i] = rates
+    return pd.Series(out)
 
 
 def mixture_size(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -100,7 +111,7 @@ def poisson_mixture(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", s
         key, "source", F.col("n_tokens").cast("long").alias("n_tokens"), F.posexplode(_entry_rates(uniform(F.col(key), seed), F.col("cap"))).alias("c", "rate")
     )
     copies = materialize(copies)
-    rates = _meeting_rates(copies, wanted)
+    rates = _meeting_rates(copies, wanted, {r.source: rate_bound(int(r.max_repeats)) for r in plan})
     rate = F.create_map(*[x for s, v in rates.items() for x in (F.lit(s), F.lit(float(v)))])
     position = F.xxhash64(F.col(key).cast("string"), F.col("c"), F.lit(seed + 1))
     return (
@@ -111,13 +122,13 @@ def poisson_mixture(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", s
     )
 
 
-def _meeting_rates(copies: DataFrame, wanted: dict[str, int]) -> dict[str, float]:
+def _meeting_rates(copies: DataFrame, wanted: dict[str, int], bounds: dict[str, float]) -> dict[str, float]:
     """Per source the rate at which the drawn tokens come closest to those wanted.
 
     Only sums per source and bin reach the driver: BINS rows a source and round."""
-    low, high = dict.fromkeys(wanted, 0.0), dict.fromkeys(wanted, MOST_RATE)
+    low, high = dict.fromkeys(wanted, 0.0), dict(bounds)
     below = dict.fromkeys(wanted, 0)  # tokens drawn at the rate low
-    rates = dict.fromkeys(wanted, MOST_RATE)
+    rates = dict(bounds)
     open_ = set(wanted)
     for _ in range(REFINEMENTS):
         at = lambda of: F.create_map(*[x for s in wanted for x in (F.lit(s), F.lit(of[s]))])[F.col("source")]
