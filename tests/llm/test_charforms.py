@@ -3,7 +3,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm.charforms import ConflictError, Normalizer, Transducer, consistent, normalizer
+from vellum.llm.charforms import ConflictError, Normalizer, Transducer, consistent, consistent_form, normalizer
 
 CASES = {
     "A. Г. Сорплавенкo": "А. Г. Сорплавенко",
@@ -47,3 +47,13 @@ def test_columns(spark):
     got = [r.v for r in df.select(consistent(F.col("value")).alias("v")).collect()]
     assert got == [None, "", long_.replace("a", "а"), "x"]
     assert Normalizer()(None) is None
+
+
+def test_clusters_no_rule_names():
+    """Letters under several accents are composed, in the script of their word."""
+    form = consistent_form
+    assert form("Ба́лётъ") == "Ба́лётъ"
+    assert form("ệlève") == "ệlève"
+    assert form("Те‍а­тръ") == "Театръ"
+    for text in ("Ба́лётъ", "q̣̇x", "́", "‍", "é" * 3000):
+        assert form(form(text)) == form(text)

@@ -16,7 +16,8 @@ from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.session import spread
@@ -192,6 +193,12 @@ def text_encoder(path: str = VOCABULARY) -> TextEncoder:
     return TextEncoder(path)
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """The vocabulary file sent to every executor; gives its name there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def encode_corpus(docs: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
     """(key, ids) for every row: ids by the vocabulary, without special tokens.
 
@@ -200,9 +207,10 @@ def encode_corpus(docs: DataFrame, key: str, text: str, path: str = VOCABULARY)
     a text of any length is encoded whole.
     """
     kind = docs.schema[key].dataType.simpleString()
+    name = shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = text_encoder(path).encode
+        encode = text_encoder(SparkFiles.get(name)).encode
         for batch in batches:
             yield pd.DataFrame({key: batch.iloc[:, 0], "ids": [encode(t) for t in batch.iloc[:, 1]]})
 
@@ -211,9 +219,11 @@ def encode_corpus(docs: DataFrame, key: str, text: str, path: str = VOCABULARY)
 
 def token_counts(docs: DataFrame, keep: list[str], text: str, path: str = VOCABULARY) -> DataFrame:
     """The columns ``keep`` and n_tokens of every row; null texts have 0."""
+    name = shipped(docs.sparkSession, path)
+
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
-        encode = text_encoder(path).encode
+        encode = text_encoder(SparkFiles.get(name)).encode
         return texts.map(lambda t: len(encode(t))).astype("int32")
 
     return spread(docs.select(*keep, F.col(text).alias("_text"))).select(*keep, count("_text").alias("n_tokens"))

@@ -4,11 +4,15 @@ Rules for widths, blanks, invisible characters, accents and look-alike letters a
 compiled once into transducers: tries over grapheme clusters, walked with longest
 match. Compilation refuses rules that contradict each other, and rules whose output
 would be rewritten again, so one pass is enough and a second pass changes nothing.
+A cluster that no rule names, such as a letter under several accents, is compiled
+when it is first met, and checked in the same way.
 
 Look-alike letters have an output per script, so there is one transducer for each
-script and one for what stands between words. A word takes the script of its letters
-that exist in one script only; a word of look-alikes alone takes the script of the
-nearest other word, of the following one at a tie, unless it is a Roman numeral.
+script and one for what stands between words. A text is cut into clusters once, the
+script of each word is chosen, and its clusters go through that transducer alone. A
+word takes the script of its letters that exist in one script only; a word of
+look-alikes alone takes the script of the nearest other word, of the following one at
+a tie, unless it is a Roman numeral.
 """
 
 from __future__ import annotations
@@ -40,10 +44,19 @@ BLANKS = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000, 0x2028,
 _ROMAN = regex.compile(r"M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})")
 
 
+#: Clusters a worker remembers in one transducer.
+MOST_CLUSTERS = 200_000
+#: Texts in which nothing can look like something else: letters of one script, ordinary marks.
+_PLAIN = regex.compile(r"[ -~]*|[ -@\[-`{-~А-яЁёІіѢѣѲѳѴѵЇї«»„“”’—–…№\n]*")
+
+
 class ConflictError(ValueError):
     """Two rules contradict each other or one undoes another."""
 
 
+_CLUSTER = regex.compile(r"\X")
+
+
 class Transducer:
     """Trie of rewriting rules over clusters; longest match, one pass."""
 
@@ -56,26 +69,51 @@ class Transducer:
                 self.rules[source] = target
         self.trie: dict = {}
         for source, target in self.rules.items():
-            node = self.trie
-            for char in source:
-                node = node.setdefault(char, {})
-            node[""] = target
+            self._put(_CLUSTER.findall(source), target)
         for source, target in self.rules.items():
-            if self(target) != target:
+            if self(_CLUSTER.findall(target)) != target:
                 raise ConflictError(f"the output of {source!r} is rewritten again")
 
-    def __call__(self, text: str) -> str:
-        out, at, n, trie = [], 0, len(text), self.trie
+    def _put(self, clusters: list[str], target: str) -> None:
+        node = self.trie
+        for cluster in clusters:
+            node = node.setdefault(cluster, {})
+        node[""] = target
+
+    def _compile(self, cluster: str) -> None:
+        """Rules for a cluster of several code points that none names: its longest
+        beginnings are rewritten by the rules there are, and the whole is composed."""
+        out, at = [], 0
+        while at < len(cluster):
+            end = len(cluster)
+            while end > at + 1 and cluster[at:end] not in self.rules:
+                end -= 1
+            out.append(self.rules.get(cluster[at:end], cluster[at:end]))
+            at = end
+        target = unicodedata.normalize("NFC", "".join(out))
+        while (again := unicodedata.normalize("NFC", "".join(self.rules.get(c, c) for c in target))) != target:
+            target = again
+        if len(self.trie) >= MOST_CLUSTERS:  # odd clusters without end: forget what was compiled
+            self.trie = {}
+            for source, known in self.rules.items():
+                self._put(_CLUSTER.findall(source), known)
+        self._put([cluster], target)
+
+    def __call__(self, clusters: list[str]) -> str:
+        out, at, n, trie = [], 0, len(clusters), self.trie
         while at < n:
-            node, end, found, stop = trie.get(text[at]), at + 1, None, at + 1
+            first = clusters[at]
+            if len(first) > 1 and first not in trie:
+                self._compile(first)
+            node, end, found, stop = trie.get(first), at + 1, None, at + 1
             while node is not None:
                 if "" in node:
                     found, stop = node[""], end
                 if end >= n:
                     break
-                node = node.get(text[end])
+                node = node.get(clusters[end])
                 end += 1
-            out.append(text[at] if found is None else found)
+            out.append(first if found is None else found)
             at = stop
         return "".join(out)
 
@@ -133,16 +171,22 @@ class Normalizer:
         for script in ("cyrillic", "latin"):
             letters = dict(letter_rules(script))
             widths = [(a, "".join(letters.get(c, c) for c in b)) for a, b in first]
-            self.by_script[script] = Transducer([*widths, *letters.items(), *accent_rules(letters)])
+            self.by_script[script[0]] = Transducer([*widths, *letters.items(), *accent_rules(letters)])
+        self.by_script[""] = self.between
+        self.to_latin = dict(letter_rules("latin"))
         self.look_alike = set(LATIN) | set(CYRILLIC) | set(GREEK_PAIRS) | set(CYRILLIC_RARE)
         self.kinds: dict[str, str] = {}
 
-    def kind(self, char: str) -> str:
+    def plain(self, cluster: str) -> str:
+        """The letter of a cluster without width and accents."""
+        return unicodedata.normalize("NFD", self.between([cluster]))[:1]
+
+    def kind(self, cluster: str) -> str:
         """``c`` or ``l`` for a letter of one script only, ``b`` for a look-alike,
         ``o`` for another letter, ``x`` for what doesn't end a word, else empty."""
-        known = self.kinds.get(char)
+        known = self.kinds.get(cluster)
         if known is None:
-            plain = unicodedata.normalize("NFD", self.between(char))[:1]
+            plain = self.plain(cluster)
             name = unicodedata.name(plain, "") if plain else ""
             if not plain or unicodedata.combining(plain):
                 known = "x"
@@ -152,14 +196,16 @@ class Normalizer:
                 known = "b"
             else:
                 known = "c" if name.startswith("CYRILLIC") else "l" if name.startswith("LATIN") else "o"
-            self.kinds[char] = known
+            if len(self.kinds) < MOST_CLUSTERS:
+                self.kinds[cluster] = known
         return known
 
     def __call__(self, text: str | None) -> str | None:
         """The consistent form; null stays null, empty stays empty."""
-        if not text:
+        if not text or _PLAIN.fullmatch(text):
             return text
-        kinds = [self.kind(c) for c in text]
+        clusters = _CLUSTER.findall(text)
+        kinds = [self.kind(c) for c in clusters]
         spans, start = [], -1
         for i, k in enumerate(kinds):
             if k and (start >= 0 or k != "x"):
@@ -168,7 +214,7 @@ class Normalizer:
                 spans.append((start, i))
                 start = -1
         if start >= 0:
-            spans.append((start, len(text)))
+            spans.append((start, len(clusters)))
         counts = [(kinds[a:b].count("c"), kinds[a:b].count("l"), b - a - kinds[a:b].count("x")) for a, b in spans]
         sides = ["" if not c and not l else "c" if c >= l else "l" for c, l, _ in counts]
         after = [""] * len(sides)  # nearest word with a script, behind and before
@@ -178,25 +224,27 @@ class Normalizer:
         out, at = [], 0
         for i, ((a, b), (_, _, n)) in enumerate(zip(spans, counts)):
             near = min([x for x in (after[i], before) if x], key=lambda x: x[0], default=(0, ""))[1]
-            out.append(self.between(text[at:a]))
-            out.append(self._word(text[a:b], sides[i], n, near, text[b : b + 1] in (".", "．")))
+            word = clusters[a:b]
+            script = sides[i] or self._script(word, kinds[a:b], n, near, clusters[b][:1] in (".", "．") if b < len(clusters) else False)
+            out.append(self.between(clusters[at:a]))
+            out.append(self.by_script[script](word))
             before = (1, sides[i]) if sides[i] else (before[0] + 1, before[1]) if before else ""
             at = b
-        out.append(self.between(text[at:]))
-        return unicodedata.normalize("NFC", "".join(out))
-
-    def _word(self, word: str, side: str, n: int, near: str, point: bool) -> str:
-        cyrillic, latin = self.by_script["cyrillic"](word), self.by_script["latin"](word)
-        if side:
-            return cyrillic if side == "c" else latin
-        if any(self.kind(ch) == "o" for ch in word):  # a word of another script
-            return self.between(word)
-        if _ROMAN.fullmatch(latin) and (n > 1 or not point) and word != cyrillic:
-            return latin
+        out.append(self.between(clusters[at:]))
+        return "".join(out)
+
+    def _script(self, word: list[str], kinds: list[str], n: int, near: str, point: bool) -> str:
+        """The script of a word without a letter of one script only."""
+        if "o" in kinds:  # a word of another script
+            return ""
+        letters = [self.plain(c) for c, k in zip(word, kinds) if k != "x"]
+        latin = "".join(self.to_latin.get(c, c) for c in letters)
+        if _ROMAN.fullmatch(latin) and (n > 1 or not point) and any(c not in CYRILLIC for c in letters):
+            return "l"
         if near:
-            return cyrillic if near == "c" else latin
-        votes = sum(ch in CYRILLIC for ch in word) - sum(ch in LATIN for ch in word)
-        return cyrillic if votes >= 0 else latin
+            return near
+        votes = sum(c in CYRILLIC for c in letters) - sum(c in LATIN for c in letters)
+        return "c" if votes >= 0 else "l"
 
 
 @lru_cache(maxsize=1)
