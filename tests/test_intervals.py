@@ -61,3 +61,9 @@ def test_span_lists(spark):
     df = spark.createDataFrame([("p", text), ("q", None), ("r", ""), ("s", "1890-91..?")], "person string, t string")
     got = sorted(tuple(r) for r in season_spans(df, "person", "t").collect())
     assert got == [("p", 1890, 1893), ("p", 1895, 1897), ("p", 1899, 1901), ("p", 1900, 1902), ("p", 1903, 1904)]
+
+
+def test_a_very_long_interval_stays_a_few_rows(spark):
+    df = spark.createDataFrame([("a", 3, 10**15), ("a", 10**15, 10**15 + 1), ("a", -5, 1), ("b", 0, 8), ("b", 8, 16), ("b", 17, 40)], "k string, s long, e long")
+    got = sorted(map(tuple, merge_intervals(df, "k", "s", "e").collect()))
+    assert got == [("a", -5, 1), ("a", 3, 10**15 + 1), ("b", 0, 16), ("b", 17, 40)]

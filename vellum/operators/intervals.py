@@ -2,8 +2,8 @@
 
 Intervals are half-open ``[start, end)`` over integers; intervals that overlap or
 touch form one period. Level one clips every interval to fixed time shards and
-merges inside (entity, shard); level two stitches only the coverage that touches a
-shard boundary. The first shuffle carries one row per distinct clipped start of
+merges inside (entity, shard), where shards that an interval covers whole stay one
+range; level two stitches only the coverage that touches a shard boundary. The first shuffle carries one row per distinct clipped start of
 an entity and shard and map task (the longest end wins before the shuffle), so an
 entity that holds a third of all rows doesn't reach one task whole.
 """
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.session import materialize, settled
+
 
 def _runs(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Union of the intervals of each key, as disjoint runs."""
@@ -23,6 +25,7 @@ def _runs(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     return numbered.groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
 
 
+@settled
 def merge_intervals(
     df: DataFrame, entity: str, start: str, end: str, shard_width: int = 8
 ) -> DataFrame:
@@ -38,15 +41,16 @@ def merge_intervals(
     clean = df.select(
         F.col(entity).alias("_k"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e")
     ).where("_k is not null and _s is not null and _e is not null and _s < _e")
-    clipped = clean.withColumn("_h", F.explode(F.sequence(first, last))).select(
-        "_k",
-        "_h",
-        F.greatest("_s", F.col("_h") * w).alias("_s"),
-        F.least("_e", (F.col("_h") + 1) * w).alias("_e"),
-    )
+    part = lambda h, a, b: F.struct(h.cast("long").alias("h"), a.cast("long").alias("s"), b.cast("long").alias("e"))
+    none = F.lit(None)
+    head = part(first, F.col("_s"), F.least("_e", (first + 1) * w))
+    tail = F.when(last > first, part(last, last * w, F.col("_e")))
+    whole = F.when(last > first + 1, part(none, (first + 1) * w, last * w))
+    clipped = clean.select("_k", F.explode(F.array_compact(F.array(head, tail, whole))).alias("p"))
+    clipped = clipped.select("_k", F.col("p.h").alias("_h"), F.col("p.s").alias("_s"), F.col("p.e").alias("_e"))
     reduced = clipped.groupBy("_k", "_h", "_s").agg(F.max("_e").alias("_e"))
-    local = _runs(reduced, ["_k", "_h"], "_s", "_e")
-    touches = (F.col("_s") == F.col("_h") * w) | (F.col("_e") == (F.col("_h") + 1) * w)
+    local = materialize(_runs(reduced, ["_k", "_h"], "_s", "_e"))
+    touches = F.col("_h").isNull() | (F.col("_s") == F.col("_h") * w) | (F.col("_e") == (F.col("_h") + 1) * w)
     inner = local.where(~touches).select("_k", "_s", "_e")
     edge = _runs(local.where(touches).select("_k", "_s", "_e"), ["_k"], "_s", "_e")
     return inner.unionByName(edge).select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators.intervals import interval_gaps, merge_intervals, season_spans, season_text, season_year
+from vellum.session import settled
 from vellum.sources.tables import table
 
 
@@ -23,6 +24,7 @@ def attested_spans(spark: SparkSession, folder: str) -> DataFrame:
     return notes.unionByName(people.where("_ok is not null").drop("_ok"))
 
 
+@settled
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Periods and gaps of every person, as seasons; see TESTDATA.md."""
     periods = merge_intervals(attested_spans(spark, folder), "person_id", "start", "end")
