@@ -23,7 +23,7 @@ from vellum.llm.canonical_list import deletions, edit_distance
 from vellum.llm.charforms import consistent
 from vellum.llm.name_parts import first_names, folded_surname, initial, parse
 from vellum.operators.matching import final_of_chain
-from vellum.session import materialize
+from vellum.session import materialize, settled
 
 #: Costs of the channel, in units of log probability.
 EDIT_COST = {0: 0.0, 1: 0.6, 2: 1.5}
@@ -93,6 +93,7 @@ def _cost(d: Column, sure: Column) -> Column:
     return F.when(sure, F.when(d == 0, SURE_EDIT_COST[0]).when(d == 1, SURE_EDIT_COST[1]).otherwise(SURE_EDIT_COST[2])).otherwise(usual)
 
 
+@settled
 def attribute_names(values: DataFrame, value: str) -> DataFrame:
     """(value, person): every distinct spelling with the canonical form it is
     attributed to; ``person`` is a key of surname and initials.
@@ -121,10 +122,13 @@ def attribute_names(values: DataFrame, value: str) -> DataFrame:
     ordinals = (
         keyed.where("ord <> ''").groupBy("sur", "fi").agg(F.max_by("ord", "n").alias("ord"))
     )
+    # spellings without the second initial count for the persons who have one
     extra = keyed.where("pi = ''").groupBy("sur", "fi").agg(F.count("*").alias("v2"), F.sum("n").alias("n2"))
     people = (
         people.join(ordinals, ["sur", "fi"], "left")
         .join(extra, ["sur", "fi"], "left")
+        .withColumn("v2", F.when(F.col("pi") != "", F.col("v2")))
+        .withColumn("n2", F.when(F.col("pi") != "", F.col("n2")))
         .withColumn("prior", F.log(F.col("v") + F.coalesce("v2", F.lit(0))) + ROW_WEIGHT * F.log(F.col("n") + F.coalesce("n2", F.lit(0))))
         .drop("v", "n", "v2", "n2")
     )
@@ -153,10 +157,17 @@ def attribute_names(values: DataFrame, value: str) -> DataFrame:
     loose = forms.where("not (whole and pi <> '')").drop("whole")
     russian = loose.where("not foreign").join(_near_surnames(loose.where("not foreign"), canon.select(F.col("sur_c").alias("sur"))), "sur")
     latin = loose.where("foreign").select("*", F.lit(None).cast("string").alias("other"), F.lit(0).alias("d"))
+    # with a given name or initial a surname meets only persons who share it, so that
+    # the spellings and persons of a frequent surname don't all meet; bare ones apart
+    def meet(some: DataFrame, at: str, name: str) -> DataFrame:
+        on = F.col(at) == F.col(name)
+        named = some.where("size(inits) > 0").withColumn("_fi", F.explode("inits"))
+        named = named.join(canon, on & (F.col("_fi") == F.col("fi_c"))).drop("_fi")
+        return named.unionByName(some.where("size(inits) = 0").join(canon, on))
+
     fits = (
-        russian.join(canon, F.col("other") == F.col("sur_c"))
-        .unionByName(latin.join(canon, F.col("lat") == F.col("lat_c")))
-        .where("size(inits) = 0 or array_contains(inits, fi_c)")
+        meet(russian, "other", "sur_c")
+        .unionByName(meet(latin, "lat", "lat_c"))
         .where("pi = '' or pi_c = '' or pi = pi_c")
         .where("gender = '' or gender_c = '' or gender = gender_c")
         .where("ord = '' or ord_c is null or ord = ord_c")
