@@ -60,3 +60,43 @@ def test_windows_merge(spark):
 def test_stitch(spark):
     df = spark.createDataFrame([(1, ["a b c d", "c d e", "x"]), (2, [])], "k int, b array<string>")
     assert [r.stitched for r in X.stitched(df, "k", "b").orderBy("k").collect()] == ["a b c d e x", ""]
+
+
+def test_reading_selector_cases(spark):
+    cases = [
+        (["домъ", "дом", "домъ"], "домъ", "hard or soft sign"), (["", "театръ", None], "театръ", "present in some"), (["мiръ", "міръ", "міръ"], "міръ", "other letters"),
+        (["a", "b", "c"], "REVIEW:a|b|c", "other letters"), (["вечеръ", "вечерь", "вечеръ"], "вечеръ", "hard or soft sign"), ([], None, "other letters"), (["Опера", "опера", "опера"], "опера", "case"),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "k int, readings array<string>")
+    from vellum.operators.text import select_reading
+
+    got = {r.k: (r.chosen, r.kind) for r in select_reading(df, "k", "readings").collect()}
+    assert {k: v for k, v in got.items() if cases[k][0]} == {i: c[1:] for i, c in enumerate(cases) if c[0]}
+    assert got[5][0] is None
+
+
+def test_votes_of_passes(spark):
+    from vellum.operators.text import vote
+
+    rows = [("k1", "1898"), ("k1", "1898"), ("k2", "1901"), ("k2", "1901"), ("k2", "1907"), ("k3", None), ("k3", None), ("k4", None), ("k4", "1900"), ("k5", "1902"), ("k5", "1902"), ("k5", None), ("k6", "a"), ("k6", "b")]
+    got = {r.k: (r.verdict, r.value) for r in vote(spark.createDataFrame(rows, "k string, p string"), "k", "p").collect()}
+    assert got == {"k1": ("agreed", "1898"), "k2": ("conflict", "1901"), "k3": ("blank agreed", None), "k4": ("single", "1900"), "k5": ("agreed", "1902"), "k6": ("conflict", "b")}
+
+
+def test_partial_dates(spark):
+    from vellum.operators.calendar import partial_date
+
+    want = {
+        "17 мая 1898": ("1898-05-17", "day", 1898, 5), "мартъ 1902": (None, "month", 1902, 3), "осень 1899": (None, "season", 1899, None), "около 1901 года": (None, "year", 1901, None),
+        "31 февраля 1900": (None, "month", 1900, 2), "29 февраля 1900": ("1900-02-29", "day", 1900, 2), "безъ даты": (None, "none", None, None), "уволенъ 24.08.1897": ("1897-08-24", "day", 1897, 8), "31.09.1897": (None, "month", 1897, 9),
+    }
+    got = {r.text: (r.iso, r.precision, r.y, r.m) for r in partial_date(spark.createDataFrame([(t,) for t in want] , "t string"), "t").collect()}
+    assert got == want
+
+
+def test_sums_with_leading_digits(spark, tmp_path):
+    from vellum.plans.ledgers import sums_in_text
+
+    rows = [(1, "сборъ 12 р. 50 к. и 1 790 р. 93 к."), (2, "123 456 р. 5 к."), (3, "1905 7 р. 1 к."), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: (r.sums, r.minor) for r in sums_in_text(spark, str(tmp_path)).collect()} == {1: (2, 180343), 2: (1, 12345605)}

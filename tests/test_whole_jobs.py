@@ -21,7 +21,7 @@ def test_candidate_pairs_of_all_reasons(spark, tmp_path):
         ("e", None, 0.9, "transliteration", "confirmed"),
     ]
     d = stored(spark, tmp_path, "person_candidate", rows, "person_id_1 string, person_id_2 string, similarity_score double, match_reason string, status string")
-    got = sorted(map(tuple, entities.candidate_pairs_all(spark, d).collect()))
+    got = sorted(map(tuple, entities.candidate_pairs(spark, d).collect()))
     assert got == [("a", "b", 0.9, "same_initials", True), ("c", "d", 0.5, "same_initials", False), ("e", "f", None, "same_initials", True)]
 
 
@@ -38,7 +38,7 @@ def test_distance_of_whole_texts(spark, tmp_path):
     said = ["Мазурка, 12 пар.", "Полька, 12 пар.", "полька, 12 паръ.", "", "Ѣ\U0001d11e", None, "x", "домъ"]
     rows = [(f"b{i}", "p", i, t) for i, t in enumerate(said)] + [("c1", "q", 8, "домъ"), ("c0", None, 0, "a"), ("c2", None, 1, "b")]
     d = stored(spark, tmp_path, "review_passage", rows, "block_id string, page_id string, block_index int, text string")
-    got = {r.block_id: (r.distance, r.cer) for r in texts.edit_distance_cer_whole(spark, d).collect()}
+    got = {r.block_id: (r.distance, r.cer) for r in texts.edit_distance_cer(spark, d).collect()}
     want = {}
     for i, (a, b) in enumerate(zip(said, said[1:])):
         if a is not None and b is not None:
@@ -64,7 +64,7 @@ def test_enumerated_items_of_all_documents(spark, tmp_path):
     ]
     d = stored(spark, tmp_path, "documents", rows, "doc_id long, source string, text string")
     got = {}
-    for r in texts.segment_items_whole(spark, d).orderBy("doc_id", "k").collect():
+    for r in texts.segment_items(spark, d).orderBy("doc_id", "k").collect():
         got.setdefault(r.doc_id, []).append((r.k, r.enumerator, r.piece))
     assert got == {
         1: [(1, None, "Прошу:"), (2, "1)", "ноты; партитуру"), (3, "2)", "либретто"), (4, "10)", "клавиръ")],
@@ -160,7 +160,7 @@ def test_variants_by_fold_of_all_words(spark, tmp_path):
     for w, n in count.items():
         groups[folded(w)][w] = n
     want = {(w, f, n, max(g.values())) for f, g in groups.items() for w, n in g.items() if n < max(g.values()) >= 5 * n and sum(g.values()) >= 5}
-    got = [tuple(r) for r in texts.name_variants_folded(spark, d).collect()]
+    got = [tuple(r) for r in texts.name_variants(spark, d).collect()]
     assert len(got) == len(want) and set(got) == want
     assert {w for w, *_ in want} == {"после", "михаил", "ѳоминична", "класъ"}
 
@@ -168,7 +168,7 @@ def test_variants_by_fold_of_all_words(spark, tmp_path):
 def test_families_counted_after_the_fold(spark, tmp_path):
     rows = [(n,) for n in ["Ѳедоровъ", "Федоров", "Виллъ", "Вилъ", "Мартьянова", "Мартьянова", None]]
     d = stored(spark, tmp_path, "review_person", rows, "canonical_family_name string")
-    assert [tuple(r) for r in texts.folded_family_keys(spark, d).collect()] == [("all", 5, 3)]
+    assert [tuple(r) for r in texts.folded_families(spark, d).collect()] == [("all", 5, 3)]
 
 
 def test_claims_over_all_prices(spark, tmp_path):
@@ -205,26 +205,3 @@ def test_claims_over_all_prices(spark, tmp_path):
             used |= {left, right}
             want[left, right] = -score
     assert got == want
-
-
-def test_head_pairs_of_whole_lines(spark):
-    from vellum.llm.scan_repair import learned_heads
-
-    long = "слово " * 60
-    paired = "Обозрѣніе сезона"
-    # the head stands in mid-sentence, but its words stand often beyond the fortieth of a line too
-    pages = [f"актеры играли и пѣли\n{paired}\nвесьма хорошо." for _ in range(12)]
-    lines = [long + paired + " вышло въ свѣтъ." for _ in range(12)]
-    heads = lambda texts: [r.head for r in learned_heads(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()]
-    assert heads(pages) == [paired]
-    assert heads(pages + lines) == []
-
-
-def test_slips_of_slips_to_the_end(spark):
-    from vellum.llm.name_links import attribute_names
-
-    # each one edit from the next, thirteen times as frequent: the first is five hops from the last
-    surnames = ["Бабинъ", "Бадинъ", "Бадонъ", "Гадонъ", "Гадовъ", "Радовъ"]
-    rows = spark.createDataFrame([(f"{s}, Иванъ Петровичъ", 13**k) for k, s in enumerate(surnames)], "value string, n int")
-    got = attribute_names(rows.selectExpr("value", "explode(sequence(1, n))"), "value").collect()
-    assert len(got) == len(surnames) and len({r.person for r in got}) == 1

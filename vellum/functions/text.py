@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def spelling_fold(text: Column) -> Column:
-    """Old letters to new ones, signs dropped, doubled letters collapsed, lower case."""
+    """Old letters to new ones, signs dropped, repeated letters collapsed, lower case."""
     low = F.translate(F.lower(text), "ѣіѳѵёъь", "еифие")
-    return F.regexp_replace(low, r"(\p{L})\1", "$1")
+    return F.regexp_replace(low, r"(\p{L})\1+", "$1")
 
 
 def squash(text: Column) -> Column:

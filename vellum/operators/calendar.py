@@ -67,3 +67,23 @@ def drift_vote(blocks: DataFrame, keys: list[str], order: list[str], day_number:
         .withColumn("status", F.when(fits, "corrected").when(F.col("status") == "mismatch", "unresolved").otherwise(F.col("status")))
         .drop("_run", "_shift")
     )
+
+
+#: Beginnings of the months' names in old and new spelling.
+MONTH_STEMS = ["янв", "фев", "мар", "апр", "ма[йя]", "июн|іюн", "июл|іюл", "авг", "сент", "окт", "ноя", "дек"]
+
+
+def partial_date(df: DataFrame, text: str) -> DataFrame:
+    """(text, iso, precision, y, m): the date in a text as far as it goes; an impossible
+    day falls through to its month, 29 February of a Julian leap year is a day (F15, F17)."""
+    t = F.col(text)
+    month = F.lit(None).cast("int")
+    for i, stem in reversed(list(enumerate(MONTH_STEMS, 1))):
+        month = F.when(F.lower(t).rlike(rf"(^|\s)({stem})"), i).otherwise(month)
+    number = lambda pattern: F.regexp_extract(t, pattern, 1).try_cast("int")
+    m, y = F.coalesce(number(r"\d{1,2}\.(\d\d)\.\d{4}"), month), number(r"(1[789]\d\d)")
+    read = df.select(t.alias("text"), m.alias("m"), y.alias("y"), F.coalesce(number(r"(\d{1,2})\.\d\d\.\d{4}"), number(r"(?:^|\s)(\d{1,2})\s")).alias("dd"))
+    long_ = F.when(F.col("m").isin(4, 6, 9, 11), 30).when(F.col("m") == 2, F.when(F.col("y") % 4 == 0, 29).otherwise(28)).otherwise(31)
+    whole = F.coalesce(F.col("dd") <= long_, F.lit(False)) & F.col("m").isNotNull() & F.col("y").isNotNull()
+    precision = F.when(whole, "day").when(F.col("m").isNotNull(), "month").when(F.lower("text").rlike("осен|весн|зим|лѣто"), "season").when(F.col("y").isNotNull(), "year").otherwise("none")
+    return read.select("text", F.when(whole, F.format_string("%04d-%02d-%02d", "y", "m", "dd")).alias("iso"), precision.alias("precision"), "y", "m")

@@ -113,3 +113,13 @@ def final_of_chain(links: DataFrame, old: str, new: str, max_depth: int = 20) ->
         if not open_:
             return hop.select(F.col("o").alias(old), F.col("f").alias("final"), F.col("d").alias("depth"))
     raise RuntimeError("a chain of replacements doesn't end")
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """(key, n): 1, 2, 3 ... in key order, by ranks inside range partitions plus the
+    sizes of those before; no task sorts all rows (W1)."""
+    parts = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    parts = materialize(parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key))))
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("c"))  # one row per partition
+    before = sizes.withColumn("b", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return parts.join(F.broadcast(before), "_p").select(key, (F.col("_r") + F.col("b")).alias("n"))

@@ -169,3 +169,14 @@ def stitched(df: DataFrame, key: str, bands: str) -> DataFrame:
         return lists.map(join)
 
     return df.select(key, run(bands).alias("stitched"))
+
+
+def vote(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, verdict, value): rows of a key are passes over one field (X11). ``agreed``
+    where all that say something say the same, ``conflict`` where they differ (the value
+    of most votes, the last in order at a tie), ``single`` and ``blank agreed``."""
+    c = df.groupBy(F.col(key).alias("k"), F.col(value).alias("p")).agg(F.count("*").alias("n"))
+    c = c.withColumn("n", F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0))
+    g = c.groupBy("k").agg(F.count("p").alias("values"), F.sum("n").alias("votes"), F.max(F.when(F.col("p").isNotNull(), F.struct("n", "p"))).alias("b"))
+    verdict = F.when(F.col("values") == 0, "blank agreed").when(F.col("values") > 1, "conflict").when(F.col("votes") == 1, "single").otherwise("agreed")
+    return g.select(F.col("k").alias(key), verdict.alias("verdict"), F.col("b.p").alias("value"))

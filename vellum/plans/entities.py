@@ -110,56 +110,45 @@ def group_or_split(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH t AS (SELECT production_entry_id, regexp_replace(title, ',\s+\d-[^,]*$', '') AS base, title FROM production_entry WHERE title IS NOT NULL), w AS (SELECT canonical_title, count(*) AS n, min(work_id) AS id FROM research_work GROUP BY 1)
 SELECT production_entry_id, base, CASE WHEN n = 1 THEN id END AS parent, CASE WHEN n IS NULL THEN 'not in list' WHEN n > 1 THEN 'several' WHEN base = title THEN 'whole' ELSE 'excerpt' END AS note FROM t LEFT JOIN w ON canonical_title = base""")
 def excerpt_parent(spark: SparkSession, d: str) -> DataFrame:
-    """An excerpt's title leads to its parent if that is the only one."""
+    """An excerpt's title leads to its parent if that is the only one."""
     t = table(spark, d, "production_entry", "production_entry_id", "title").where("title is not null").withColumn("base", F.regexp_replace("title", r",\s+\d-[^,]*$", ""))
     w = table(spark, d, "research_work", "work_id", "canonical_title").groupBy(F.col("canonical_title").alias("base")).agg(F.count("*").alias("n"), F.min("work_id").alias("id"))
     note = F.when(F.col("n").isNull(), "not in list").when(F.col("n") > 1, "several").when(F.col("base") == F.col("title"), "whole").otherwise("excerpt")
     return t.join(lookup(w), "base", "left").select("production_entry_id", "base", F.when(F.col("n") == 1, F.col("id")).alias("parent"), note.alias("note"))
 
 
-@query("""WITH t(k, refs) AS (VALUES (1, 'a, b'), (2, 'b'), (3, NULL), (4, 'c,a ,b'), (5, '')), n(ref, city) AS (VALUES ('a', 'SP'), ('b', 'Moscow')), x AS (SELECT k, trim(unnest(string_split(refs, ','))) AS ref FROM t)
-SELECT k, string_agg(DISTINCT city, ', ' ORDER BY city) AS cities FROM x JOIN n USING (ref) GROUP BY 1""")
+@query(r"""WITH t AS (SELECT DISTINCT person_id AS k, cities AS refs FROM review_person WHERE cities IS NOT NULL), n AS (SELECT city, min(season) AS since FROM production_entry WHERE city IS NOT NULL GROUP BY 1), x AS (SELECT k, trim(unnest(string_split_regex(refs, '[,;]'))) AS city FROM t)
+SELECT k, string_agg(DISTINCT city || ' since ' || since, ', ' ORDER BY city || ' since ' || since) AS places FROM x JOIN n USING (city) GROUP BY 1""")
 def footnote_explode(spark: SparkSession, d: str) -> DataFrame:
-    """Reference lists to their places, unknown ones dropped."""
-    t = spark.createDataFrame([(1, "a, b"), (2, "b"), (3, None), (4, "c,a ,b"), (5, "")], "k int, refs string")
-    n = spark.createDataFrame([("a", "SP"), ("b", "Moscow")], "ref string, city string")
-    x = t.select("k", F.explode(F.split("refs", ",")).alias("r")).select("k", F.trim("r").alias("ref"))
-    return x.join(F.broadcast(n), "ref").groupBy("k").agg(F.array_join(F.sort_array(F.collect_set("city")), ", ").alias("cities"))  # a written list
+    """Reference lists to what they refer to, unknown ones dropped."""
+    t = table(spark, d, "review_person", F.col("person_id").alias("k"), "cities").where("cities is not null").distinct()
+    n = table(spark, d, "production_entry", "city", "season").where("city is not null").groupBy("city").agg(F.min("season").alias("since"))
+    x = t.select("k", F.explode(F.split("cities", "[,;]")).alias("r")).select("k", F.trim("r").alias("city"))
+    said = F.concat_ws(" since ", "city", "since")
+    return x.join(lookup(n), "city").groupBy("k").agg(F.array_join(F.sort_array(F.collect_set(said)), ", ").alias("places"))
 
 
 @query("""WITH old AS (SELECT o_orderkey AS nk, CAST(1 + row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS id FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'), m AS (SELECT max(id) AS top FROM old), cur AS (SELECT o_orderkey AS nk FROM orders WHERE o_orderstatus <> 'P'),
 f AS (SELECT nk FROM cur WHERE nk NOT IN (SELECT nk FROM old)) SELECT cur.nk, coalesce(old.id, m.top + r.n) AS id, old.id IS NOT NULL AS kept FROM cur LEFT JOIN old USING (nk) CROSS JOIN m LEFT JOIN (SELECT nk, row_number() OVER (ORDER BY nk) AS n FROM f) r USING (nk)""")
 def id_continuity(spark: SparkSession, d: str) -> DataFrame:
-    """Known keys keep their id, new ones get ids above the largest.
+    """Known keys keep their id, new ones get ids above the largest.
 
     The snapshot before holds the orders up to 1998, today's the settled ones. Keys
     are numbered by range partition, without sorting all in one task."""
     o = table(spark, d, "orders", F.col("o_orderkey").alias("nk"), "o_orderdate", "o_orderstatus")
-    old = _numbered(o.where("o_orderdate < timestamp_ntz'1999-01-01'").select("nk"), "nk").select("nk", (F.col("n") + 1).alias("id"))
+    old = M.numbered(o.where("o_orderdate < timestamp_ntz'1999-01-01'").select("nk"), "nk").select("nk", (F.col("n") + 1).alias("id"))
     cur = o.where("o_orderstatus <> 'P'").select("nk")
     top = old.agg(F.max("id").alias("top")).first().top or 0
-    fresh = _numbered(cur.join(old, "nk", "left_anti"), "nk").select("nk", (F.col("n") + top).alias("fresh"))
+    fresh = M.numbered(cur.join(old, "nk", "left_anti"), "nk").select("nk", (F.col("n") + top).alias("fresh"))
     return cur.join(old, "nk", "left").join(fresh, "nk", "left").select("nk", F.coalesce("id", "fresh").alias("id"), F.col("id").isNotNull().alias("kept"))
 
 
-def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """1, 2, 3 ... in key order: ranks inside range partitions plus the sizes of those before."""
-    parts = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    from vellum.session import materialize
-
-    parts = materialize(parts)
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("c"))  # one row per partition
-    before = sizes.withColumn("b", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.join(F.broadcast(before), "_p").select(key, (F.col("_r") + F.col("b")).alias("n"))
-
-
 @query("""WITH a AS (SELECT o_orderkey, c_nationkey AS n, floor(c_acctbal / 500) AS b, c_mktsegment AS m FROM orders JOIN customer ON c_custkey = o_custkey),
 c AS (SELECT o_orderkey, c_custkey, (CASE WHEN c_mktsegment = a.m THEN 6 ELSE -4 END) + (CASE WHEN c_custkey % 4 = o_orderkey % 4 THEN 4 ELSE 0 END) + (CASE WHEN c_acctbal < 0 THEN -5 ELSE 0 END) AS score FROM a JOIN customer ON c_nationkey = a.n AND floor(c_acctbal / 500) = a.b),
 r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS s2 FROM c WINDOW w AS (PARTITION BY o_orderkey ORDER BY score DESC, c_custkey))
 SELECT o_orderkey, CASE WHEN score - coalesce(s2, -99) >= 4 THEN c_custkey END AS linked, CAST(score AS INT) AS score, CAST(score - coalesce(s2, -99) AS INT) AS margin FROM r WHERE k = 1""")
 def evidence_ranker(spark: SparkSession, d: str) -> DataFrame:
-    """M2, M3: summed evidence, linked only with a margin to the second.
+    """M2: summed evidence, linked only with a margin to the second.
 
     Candidates are blocked by nation and account band, so each order meets few."""
     c = table(spark, d, "customer").withColumn("b", F.floor(F.col("c_acctbal") / 500))
@@ -196,7 +185,7 @@ def inherit_from_parent(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH o AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'O'), f AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'F'), j AS (SELECT coalesce(o.k, f.k) AS k, o.d AS a, f.d AS b FROM (SELECT DISTINCT * FROM o) o FULL JOIN (SELECT DISTINCT * FROM f) f ON o.k = f.k AND o.d = f.d)
 SELECT CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN 'exact' WHEN a IS NULL THEN 'only finished' ELSE 'only open' END AS category, CAST(count(*) AS BIGINT) AS n FROM j GROUP BY 1""")
 def two_way_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Categories in both directions."""
+    """Categories in both directions."""
     g = table(spark, d, "orders", "o_custkey", "o_orderdate", "o_orderstatus").where("o_orderstatus <> 'P'").groupBy("o_custkey", F.to_date("o_orderdate").alias("d")).agg(F.bool_or(F.col("o_orderstatus") == "O").alias("a"), F.bool_or(F.col("o_orderstatus") == "F").alias("b"))
     c = F.when(F.col("a") & F.col("b"), "exact").when(F.col("b"), "only finished").otherwise("only open")
     return g.groupBy(c.alias("category")).agg(F.count("*").alias("n"))
@@ -216,7 +205,7 @@ def tie_break_ladder(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH a AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '5-LOW'),
 t AS (SELECT o_orderkey, min(abs(date_diff('day', a.d, b.d))) AS near FROM a LEFT JOIN b ON a.o_custkey = b.o_custkey GROUP BY 1) SELECT o_orderkey, CASE WHEN near = 0 THEN 'on the day' WHEN near <= 400 THEN 'within 400 days' ELSE 'none' END AS tier FROM t""")
 def range_tier_match(spark: SparkSession, d: str) -> DataFrame:
-    """Named on the day, or near it. One equi-join on the customer; the
+    """Named on the day, or near it. One equi-join on the customer; the
     nearest date before and behind comes from a window over both kinds together."""
     o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").where("o_orderpriority in ('1-URGENT', '5-LOW')").withColumn("d", F.to_date("o_orderdate"))
     low = F.when(F.col("o_orderpriority") == "5-LOW", F.col("d"))
@@ -230,26 +219,17 @@ def range_tier_match(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH t AS (SELECT p_partkey, p_name AS base, CASE WHEN p_size > 25 THEN p_name || ' ' || p_size || '-th' ELSE p_name END AS t, CASE WHEN p_size > 25 THEN p_size END AS ordinal FROM part)
 SELECT p_partkey, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS squashed, left(split_part(t, ' ', 1), 4) || ' ' || left(split_part(t, ' ', 2), 4) || CASE WHEN ordinal IS NULL THEN '' ELSE ' ' || left(split_part(t, ' ', 3), 4) END AS stem, base, ordinal FROM t""")
 def string_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Squashed key, stem key, ordinal split off."""
+    """squashed key, stem key, ordinal split off."""
     p = table(spark, d, "part", "p_partkey", "p_name", "p_size")
     t = p.select("p_partkey", F.when(F.col("p_size") > 25, F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("-th"))).otherwise(F.col("p_name")).alias("t"))
     base, ordinal = ordinal_split(F.col("t"))
     return t.select("p_partkey", squash(F.col("t")).alias("squashed"), stem_key(F.col("t")).alias("stem"), base.alias("base"), ordinal.alias("ordinal"))
 
 
-@query("""SELECT person_id_1, person_id_2, max(similarity_score) AS score, arg_max(match_reason, similarity_score) AS reason, bool_or(coalesce(status, '') LIKE 'confirmed%') AS confirmed FROM (SELECT DISTINCT least(person_id_1, person_id_2) AS person_id_1, greatest(person_id_1, person_id_2) AS person_id_2, round(similarity_score, 4) AS similarity_score, match_reason, status FROM person_candidate WHERE person_id_1 <> person_id_2 AND match_reason = 'transliteration') GROUP BY 1, 2""")
-def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate pairs of one reason, as its SQL asks, in one order with their
-    best score; over all reasons: ``candidate_pairs_all``."""
-    p = table(spark, d, "person_candidate", "person_id_1", "person_id_2", "similarity_score", "match_reason", "status").where("person_id_1 <> person_id_2 and match_reason = 'transliteration'")
-    p = p.select(F.least("person_id_1", "person_id_2").alias("person_id_1"), F.greatest("person_id_1", "person_id_2").alias("person_id_2"), F.round("similarity_score", 4).alias("s"), "match_reason", "status")
-    return p.groupBy("person_id_1", "person_id_2").agg(F.max("s").alias("score"), F.max_by("match_reason", "s").alias("reason"), F.bool_or(F.coalesce("status", F.lit("")).startswith("confirmed")).alias("confirmed"))
-
-
 @query("""WITH p AS (SELECT least(person_id_1, person_id_2) AS person_id_1, greatest(person_id_1, person_id_2) AS person_id_2, round(similarity_score, 4) AS s, match_reason, status FROM person_candidate WHERE person_id_1 <> person_id_2),
 r AS (SELECT *, row_number() OVER (PARTITION BY person_id_1, person_id_2 ORDER BY s DESC NULLS LAST, match_reason DESC NULLS LAST) AS k, bool_or(coalesce(status, '') LIKE 'confirmed%') OVER (PARTITION BY person_id_1, person_id_2) AS confirmed FROM p)
 SELECT person_id_1, person_id_2, s AS score, match_reason AS reason, confirmed FROM r WHERE k = 1""")
-def candidate_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Candidate pairs of all reasons in one order with their best score, the
     reason that gave it (the last by name at a tie), and whether any row confirms them."""
     p = table(spark, d, "person_candidate", "person_id_1", "person_id_2", "similarity_score", "match_reason", "status").where("person_id_1 <> person_id_2")
@@ -260,7 +240,7 @@ def candidate_pairs_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT mention_type, link_method, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT block_id) AS BIGINT) AS blocks, round(avg(char_end - char_start), 4) AS mean_length FROM (SELECT mention_id, min(mention_type) AS mention_type, min(link_method) AS link_method, min(block_id) AS block_id, min(char_start) AS char_start, min(char_end) AS char_end FROM review_mention GROUP BY 1) GROUP BY 1, 2""")
 def mention_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions by type and link method, late repeats counted once."""
+    """Mentions by type and link method, late repeats counted once."""
     m = table(spark, d, "review_mention", "mention_id", "mention_type", "link_method", "block_id", "char_start", "char_end")
     one = m.groupBy("mention_id").agg(*[F.min(c).alias(c) for c in ("mention_type", "link_method", "block_id", "char_start", "char_end")])
     return one.groupBy("mention_type", "link_method").agg(F.count("*").alias("n"), F.countDistinct("block_id").alias("blocks"), F.round(F.avg(F.col("char_end") - F.col("char_start")), 4).alias("mean_length"))
@@ -273,9 +253,18 @@ def latest_delivery(spark: SparkSession, d: str) -> DataFrame:
     return g.where("deliveries > 1")
 
 
-@query(None)
+@query("""WITH o AS (SELECT o_custkey AS k, string_agg('{"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d') || '","o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderdate, o_orderkey) AS x FROM orders GROUP BY 1)
+SELECT c_custkey, '{"c_name":"' || c_name || '"' || CASE WHEN x IS NULL THEN '' ELSE ',"orders":[' || x || ']' END || '}' AS dossier FROM customer LEFT JOIN o ON k = c_custkey""")
 def dossier(spark: SparkSession, d: str) -> DataFrame:
-    """One nested document per customer."""
-    o = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus"))).alias("orders"))
+    """One nested document per customer; a customer without orders has none."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate")
+    o = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(day, "o_orderkey", "o_orderstatus"))).alias("orders"))
     c = table(spark, d, "customer", "c_custkey", "c_name").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
     return c.select("c_custkey", F.to_json(F.struct("c_name", "orders")).alias("dossier"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.k') IS NULL AS absent FROM events""")
+def parsed_props(spark: SparkSession, d: str) -> DataFrame:
+    """F32: a field out of JSON text, and whether it is absent."""
+    k = F.get_json_object("props", "$.k")
+    return table(spark, d, "events", "event_id", "props").select("event_id", k.try_cast("int").alias("k"), k.isNull().alias("absent"))

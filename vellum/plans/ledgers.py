@@ -32,7 +32,7 @@ SELECT person_id, list, regexp_extract(s, '^([а-яѣі]+)', 1) AS kind, strftim
 CASE WHEN regexp_matches(s, '\d\d\.\d\d\.\d{4}') THEN regexp_extract(s, '(\d{4})$', 1) || '-' || regexp_extract(s, '\.(\d\d)\.', 1) || '-' || regexp_extract(s, '(\d\d)\.\d\d\.\d{4}', 1) END AS read_as,
 CAST(CASE WHEN month(d) >= 8 THEN year(d) ELSE year(d) - 1 END AS INT) AS season_year FROM t""")
 def period_normalise(spark: SparkSession, d: str) -> DataFrame:
-    """Kind and date out of a printed note, season of the date."""
+    """Kind and date out of a printed note, season of the date."""
     t = table(spark, d, "person_tenure_note").distinct().withColumn("s", F.coalesce("printed_leaving", F.lit("")))
     g = lambda p: F.regexp_extract("s", p, 1)
     read = F.when(F.col("s").rlike(r"\d\d\.\d\d\.\d{4}"), F.concat_ws("-", g(r"(\d{4})$"), g(r"\.(\d\d)\."), g(r"(\d\d)\.\d\d\.\d{4}")))
@@ -44,19 +44,19 @@ def period_normalise(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH t AS (SELECT DISTINCT person_id, unnest(string_split_regex(cities, '[;,\s]+')) AS city FROM review_person), k AS (SELECT DISTINCT city FROM production_entry WHERE city IS NOT NULL)
 SELECT person_id, CAST(count(*) AS BIGINT) AS listed, CAST(count(k.city) AS BIGINT) AS known FROM t LEFT JOIN k USING (city) WHERE t.city <> '' GROUP BY 1""")
 def ledger_links(spark: SparkSession, d: str) -> DataFrame:
-    """Token lists to links to known values, counted back on the parent."""
+    """Token lists to links to known values, counted back on the parent."""
     t = table(spark, d, "review_person", "person_id", "cities")
     x = t.select("person_id", F.explode(F.split("cities", r"[;,\s]+")).alias("city")).where("city <> ''").distinct()
     k = table(spark, d, "production_entry", "city").where("city is not null").distinct().withColumn("k", F.lit(1))
     return x.join(lookup(k), "city", "left").groupBy("person_id").agg(F.count("*").alias("listed"), F.count("k").alias("known"))
 
 
-@query("""WITH m AS (SELECT DISTINCT mention_id, block_id, mention_type, char_start, surface FROM review_mention WHERE mention_type = 'role'), o AS (SELECT *, row_number() OVER (PARTITION BY block_id, surface ORDER BY char_start, mention_id) AS nth FROM m),
+@query("""WITH m AS (SELECT DISTINCT mention_id, block_id, mention_type, char_start, surface FROM review_mention), o AS (SELECT *, row_number() OVER (PARTITION BY block_id, surface ORDER BY char_start, mention_id) AS nth FROM m),
 r(surface, nth, ruled) AS (VALUES ('Зельмира', 1, 'queen'), ('Зельмира', 2, 'queen again'), ('духъ водопада', 1, 'spirit'))
 SELECT mention_id, CAST(o.nth AS INT) AS nth, ruled FROM o LEFT JOIN r ON o.surface = r.surface AND o.nth = r.nth""")
 def curated_override(spark: SparkSession, d: str) -> DataFrame:
     """Rulings by block, surface and occurrence."""
-    m = table(spark, d, "review_mention", "mention_id", "block_id", "mention_type", "char_start", "surface").where("mention_type = 'role'").distinct()
+    m = table(spark, d, "review_mention", "mention_id", "block_id", "mention_type", "char_start", "surface").distinct()
     o = m.withColumn("nth", F.row_number().over(Window.partitionBy("block_id", "surface").orderBy(F.col("char_start").asc_nulls_last(), "mention_id")))
     r = spark.createDataFrame([("Зельмира", 1, "queen"), ("Зельмира", 2, "queen again"), ("духъ водопада", 1, "spirit")], "surface string, nth int, ruled string")
     return o.join(F.broadcast(r), ["surface", "nth"], "left").select("mention_id", "nth", "ruled")  # a written list
@@ -91,7 +91,7 @@ UNION ALL SELECT 'span_reversed', CAST(mention_id AS VARCHAR) FROM (SELECT DISTI
 UNION ALL SELECT 'anonymous_with_person', CAST(credit_id AS VARCHAR) FROM (SELECT DISTINCT credit_id FROM review_credit WHERE is_anonymous AND person_id IS NOT NULL))
 SELECT flag, row_id FROM f""")
 def dq_flags_more(spark: SparkSession, d: str) -> DataFrame:
-    """Q2, Q4, Q7, Q9, Q10, Q14, Q15, Q16, Q23: one rule per flag, in one long table."""
+    """Q7, Q9, Q10, Q14, Q16: one rule per flag, in one long table."""
     p = table(spark, d, "production_entry", "production_entry_id", "total_text", "section_heading", "title")
     m = table(spark, d, "review_mention", "mention_id", "block_id", "char_start", "char_end", "surface")
     c = table(spark, d, "review_credit", "credit_id", "is_anonymous", "person_id")
@@ -115,18 +115,18 @@ def dq_flags_more(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH g AS (SELECT n_nationkey, n_regionkey, CASE WHEN n_nationkey % 2 = 0 THEN 'visiting' END AS troupe FROM nation)
 SELECT c_custkey, CASE WHEN troupe IS NOT NULL THEN 'guest' WHEN c_mktsegment = 'BUILDING' THEN 'house' ELSE 'unknown' END AS company, CASE WHEN troupe IS NOT NULL THEN 'troupe' WHEN c_mktsegment = 'BUILDING' THEN 'segment' ELSE 'no rule' END AS basis FROM customer JOIN g ON n_nationkey = c_nationkey""")
 def company_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Company from a joined attribute first, then from the row."""
+    """Company from a joined attribute first, then from the row."""
     g = table(spark, d, "nation", "n_nationkey").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "visiting").alias("troupe"))
     value, basis = R.rule_cascade([(F.col("troupe").isNotNull(), "guest", "troupe"), (F.col("c_mktsegment") == "BUILDING", "house", "segment")], ("unknown", "no rule"))
     c = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment").join(lookup(g), F.col("n_nationkey") == F.col("c_nationkey"))
     return c.select("c_custkey", value.alias("company"), basis.alias("basis"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9]( [0-9]{3})* р\. [0-9]{1,2} к\.)', 1)) AS s FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9 ]|[^0-9] )([0-9]{1,3}( [0-9]{3})* р\. [0-9]{1,2} к\.)', 1)) AS s FROM documents)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS sums, CAST(sum(CAST(replace(regexp_extract(s, '^([0-9 ]+) р', 1), ' ', '') AS BIGINT) * 100 + CAST(regexp_extract(s, 'р\. ([0-9]{1,2}) к', 1) AS BIGINT)) AS BIGINT) AS minor FROM t GROUP BY 1""")
 def sums_in_text(spark: SparkSession, d: str) -> DataFrame:
-    """Sums of money found in running text, in minor units."""
-    t = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([0-9]( [0-9]{3})* р\. [0-9]{1,2} к\.)"), F.lit(1))).alias("s"))
+    """sums of money found in running text, in minor units."""
+    t = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[^0-9 ]|[^0-9] )([0-9]{1,3}( [0-9]{3})* р\. [0-9]{1,2} к\.)"), F.lit(1))).alias("s"))
     major = F.replace(F.regexp_extract("s", "^([0-9 ]+) р", 1), F.lit(" "), F.lit(""))
     minor = F.regexp_extract("s", r"р\. ([0-9]{1,2}) к", 1)
     return t.groupBy("doc_id").agg(F.count("*").alias("sums"), F.sum(minor_units(major, minor)).alias("minor"))

@@ -467,7 +467,7 @@ def sibling_context(spark: SparkSession, d: str) -> DataFrame:
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL OR b.k IS NULL THEN 'passthrough' WHEN a.v = b.v THEN 'agreed' WHEN coalesce(a.k, b.k) % 7 = 0 THEN 'ruled' ELSE 'pending' END AS state,
 CASE WHEN a.k IS NULL THEN b.v WHEN b.k IS NULL OR a.v = b.v THEN a.v WHEN coalesce(a.k, b.k) % 7 = 0 THEN greatest(a.v, b.v) END AS value FROM a FULL JOIN b ON a.k = b.k""")
 def half_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Halves merged, rulings applied, nothing lost."""
+    """Halves merged, rulings applied, nothing lost."""
     v = lambda s: F.max(F.when(F.col("l_linestatus") == s, F.round("l_tax", 2)))
     g = table(spark, d, "lineitem", "l_orderkey", "l_linestatus", "l_tax").groupBy(F.col("l_orderkey").alias("k")).agg(v("F").alias("a"), v("O").alias("b"))
     one, ruled = F.col("a").isNull() | F.col("b").isNull(), F.col("k") % 7 == 0

@@ -158,7 +158,7 @@ t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, run OR
 SELECT r.o_custkey, strftime(d, '%Y-%m-%d') AS day, CASE WHEN s = 'mismatch' AND t.k IS NOT NULL AND (n + t.k + 14) % 7 = w THEN 'corrected' WHEN s = 'mismatch' THEN 'unresolved' ELSE s END AS status,
 CASE WHEN s = 'mismatch' AND (n + t.k + 14) % 7 = w THEN t.k END AS shift_days FROM r LEFT JOIN t ON r.o_custkey = t.o_custkey AND r.run = t.run""")
 def drift_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Weekdays misprinted by runs, corrected by a vote of the run."""
+    """Weekdays misprinted by runs, corrected by a vote of the run."""
     b = table(spark, d, "orders", "o_custkey", "o_orderdate").select("o_custkey", F.to_date("o_orderdate").alias("day")).distinct()
     n = F.datediff("day", F.lit("1995-01-02").cast("date"))  # a Monday
     off = F.when((F.col("o_custkey") + F.year("day")) % 2 == 0, 2).otherwise(0)
@@ -177,24 +177,19 @@ def julian_day_math(spark: SparkSession, d: str) -> DataFrame:
     return o.select("iso", "julian_day", C.weekday_of(F.col("julian_day")).alias("weekday"), C.iso_of_julian_day(F.col("julian_day")).alias("back"), F.when(m >= 8, y).otherwise(y - 1).alias("season"))
 
 
-_PARTIAL = ["17 мая 1898", "мартъ 1902", "осень 1899", "около 1901 года", "31 февраля 1900", "29 февраля 1900", "безъ даты"]
+_MONTH = "CASE " + " ".join(f"WHEN regexp_matches(lower(t), '(^|\\s)({stem})') THEN {i}" for i, stem in enumerate(C.MONTH_STEMS, 1)) + " END"
 
 
-@query("""SELECT * FROM (VALUES ('17 мая 1898', '1898-05-17', 'day', 1898, 5), ('мартъ 1902', NULL, 'month', 1902, 3), ('осень 1899', NULL, 'season', 1899, NULL), ('около 1901 года', NULL, 'year', 1901, NULL),
-('31 февраля 1900', NULL, 'month', 1900, 2), ('29 февраля 1900', '1900-02-29', 'day', 1900, 2), ('безъ даты', NULL, 'none', NULL, NULL)) AS t(text, iso, precision, y, m)""")
+@query(rf"""WITH t AS (SELECT DISTINCT printed_leaving AS t FROM person_tenure_note WHERE printed_leaving IS NOT NULL UNION SELECT tenure_evidence FROM person_candidate WHERE tenure_evidence IS NOT NULL),
+p AS (SELECT t, coalesce(TRY_CAST(nullif(regexp_extract(t, '\d{{1,2}}\.(\d\d)\.\d{{4}}', 1), '') AS INT), {_MONTH}) AS m, TRY_CAST(nullif(regexp_extract(t, '(1[789]\d\d)', 1), '') AS INT) AS y,
+ coalesce(TRY_CAST(nullif(regexp_extract(t, '(\d{{1,2}})\.\d\d\.\d{{4}}', 1), '') AS INT), TRY_CAST(nullif(regexp_extract(t, '(?:^|\s)(\d{{1,2}})\s', 1), '') AS INT)) AS dd FROM t),
+l AS (SELECT *, dd IS NOT NULL AND m IS NOT NULL AND y IS NOT NULL AND dd <= CASE WHEN m IN (4, 6, 9, 11) THEN 30 WHEN m = 2 THEN CASE WHEN y % 4 = 0 THEN 29 ELSE 28 END ELSE 31 END AS whole FROM p)
+SELECT t AS text, CASE WHEN whole THEN printf('%04d-%02d-%02d', y, m, dd) END AS iso, CASE WHEN whole THEN 'day' WHEN m IS NOT NULL THEN 'month' WHEN regexp_matches(lower(t), 'осен|весн|зим|лѣто') THEN 'season' WHEN y IS NOT NULL THEN 'year' ELSE 'none' END AS precision, y, m FROM l""")
 def partial_date(spark: SparkSession, d: str) -> DataFrame:
-    """day, then month or season, then year; an impossible day falls through.
-    29 February of a Julian leap year stays a day."""
-    df = spark.createDataFrame([(t,) for t in _PARTIAL], "text string")
-    stems = ["янв", "фев", "мар", "апр", "ма[йя]", "июн|іюн", "июл|іюл", "авг", "сент", "окт", "ноя", "дек"]
-    month = F.lit(None).cast("int")
-    for i, s in reversed(list(enumerate(stems, 1))):
-        month = F.when(F.lower("text").rlike(rf"(^|\s)({s})"), i).otherwise(month)
-    df = df.withColumn("m", month).withColumn("y", F.regexp_extract("text", r"(1[789]\d\d)", 1).try_cast("int")).withColumn("dd", F.regexp_extract("text", r"^(\d{1,2})\s", 1).try_cast("int"))
-    long_ = F.when(F.col("m").isin(4, 6, 9, 11), 30).when(F.col("m") == 2, F.when(F.col("y") % 4 == 0, 29).otherwise(28)).otherwise(31)
-    is_day = F.col("dd").isNotNull() & F.col("m").isNotNull() & (F.col("dd") <= long_)
-    precision = F.when(is_day, "day").when(F.col("m").isNotNull(), "month").when(F.lower("text").rlike("осен|весн|зим|лѣто"), "season").when(F.col("y").isNotNull(), "year").otherwise("none")
-    return df.select("text", F.when(is_day, F.format_string("%04d-%02d-%02d", "y", "m", "dd")).alias("iso"), precision.alias("precision"), "y", "m")
+    """dates in printed notes as far as they go: day, month, season, year."""
+    notes = table(spark, d, "person_tenure_note", "printed_leaving").select(F.col("printed_leaving").alias("text"))
+    text = notes.unionByName(table(spark, d, "person_candidate", "tenure_evidence").select(F.col("tenure_evidence").alias("text"))).where("text is not null").distinct()
+    return C.partial_date(text, "text")
 
 
 @query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type FROM events), m AS (SELECT DISTINCT user_id, strftime(day, '%Y-%m') AS mon FROM e WHERE event_type = 'purchase'), dd AS (SELECT DISTINCT user_id, day FROM e WHERE event_type = 'purchase')
@@ -221,7 +216,7 @@ def production_totals(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH s AS (SELECT DISTINCT o_custkey, year(o_orderdate) AS y FROM orders), g AS (SELECT o_custkey, y, lead(y) OVER (PARTITION BY o_custkey ORDER BY y) AS n FROM s), v AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS p, count(*) AS c FROM orders GROUP BY 1)
 SELECT v.o_custkey, CAST(coalesce(max(n - y - 1), 0) AS BIGINT) AS longest_gap, CAST(min(p) AS BIGINT) AS priorities, min(c) = 1 AS once FROM v LEFT JOIN g USING (o_custkey) GROUP BY 1""")
 def entity_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Q26, Q27, Q28: gaps between seasons, conflicting values, entities seen once."""
+    """Q26: gaps between seasons, conflicting values, entities seen once."""
     o = table(spark, d, "orders", "o_custkey", "o_orderdate", "o_orderpriority")
     y = o.select("o_custkey", F.year("o_orderdate").alias("y")).distinct()
     gap = y.withColumn("g", F.lead("y").over(Window.partitionBy("o_custkey").orderBy("y")) - F.col("y") - 1).groupBy("o_custkey").agg(F.coalesce(F.max("g"), F.lit(0)).cast("long").alias("longest_gap"))

@@ -43,19 +43,16 @@ def nth_label_repair(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("ls", ls).select("l_orderkey", "k", F.coalesce(F.get("ls", F.col("k") - 1), F.col("ls")[0]).cast("int").alias("value"))
 
 
-@query("""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-zа-яѣіѳѵё]+')) AS w FROM documents), c AS (SELECT w, count(*) AS n, left(w, 6) AS k FROM t WHERE length(w) >= 7 GROUP BY 1),
-m AS (SELECT *, max(n) OVER (PARTITION BY k) AS top, sum(n) OVER (PARTITION BY k) AS total FROM c) SELECT w AS variant, k AS fold, CAST(n AS BIGINT) AS n, CAST(top AS BIGINT) AS dominant FROM m WHERE n < top AND top >= 5 * n AND total >= 5""")
-def name_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Rare words of at least seven letters beside a frequent one with the same first
-    six, as its SQL asks; by the spelling fold (X6): ``name_variants_folded``."""
-    t = table(spark, d, "documents", "text").select(F.explode(words(F.col("text"))).alias("w")).where(F.length("w") >= 7)
-    return X.variant_outliers(t.withColumn("fold", F.left("w", F.lit(6))), "w", "fold")
+def _fold(column: str) -> str:
+    """SQL of the spelling fold."""
+    plain = f"translate(lower({column}), 'ѣіѳѵёъь', 'еифие')"
+    return f"array_to_string(list_filter(string_split({plain}, ''), lambda c, i: i = 1 OR c <> string_split({plain}, '')[i - 1]), '')"
 
 
-@query(None)
-def name_variants_folded(spark: SparkSession, d: str) -> DataFrame:
-    """Rare variants of a frequent word with the same spelling fold, over all words.
-    No SQL: DuckDB's patterns can't name a letter met before, as doubled letters need."""
+@query(f"""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-zа-яѣіѳѵё]+')) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM t GROUP BY 1), k AS (SELECT *, {_fold('w')} AS k FROM c),
+m AS (SELECT *, max(n) OVER (PARTITION BY k) AS top, sum(n) OVER (PARTITION BY k) AS total FROM k) SELECT w AS variant, k AS fold, CAST(n AS BIGINT) AS n, CAST(top AS BIGINT) AS dominant FROM m WHERE n < top AND top >= 5 * n AND total >= 5""")
+def name_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Rare variants of a frequent word with the same spelling fold, over all words."""
     t = table(spark, d, "documents", "text").select(F.explode(words(F.col("text"))).alias("w"))
     return X.variant_outliers(t.withColumn("fold", spelling_fold(F.col("w"))), "w", "fold")
 
@@ -86,18 +83,8 @@ def letter_checks(spark: SparkSession, d: str) -> DataFrame:
     return t.select("block_id", r("(^|[^А-Яа-яѣі])([А-Яа-яѣі] ){3,}").alias("letter_spacing"), r("[А-Яа-яѣі][A-Za-z]|[A-Za-z][А-Яа-яѣі]").alias("mixed_script"), r("[0-9][а-яѣі]|[а-яѣі][0-9]").alias("digit_in_word"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '[;\n]')) AS p FROM documents WHERE source = 'archive_request'), s AS (SELECT doc_id, trim(p, E' \t\r') AS piece FROM t)
-SELECT doc_id, piece, CAST(count(*) AS BIGINT) AS n FROM s WHERE piece <> '' GROUP BY 1, 2""")
-def segment_items(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces of the reading-room forms between semicolons and line ends, as its SQL
-    asks; enumerated pieces (X8) of all documents: ``segment_items_whole``."""
-    t = table(spark, d, "documents", "doc_id", "source", "text").where("source = 'archive_request'")
-    p = t.select("doc_id", F.explode(F.split("text", r"[;\n]")).alias("p")).select("doc_id", F.regexp_replace("p", r"^[ \t\r]+|[ \t\r]+$", "").alias("piece"))
-    return p.where("piece <> ''").groupBy("doc_id", "piece").agg(F.count("*").alias("n"))
-
-
 @query(None)
-def segment_items_whole(spark: SparkSession, d: str) -> DataFrame:
+def segment_items(spark: SparkSession, d: str) -> DataFrame:
     """Texts of all documents cut at their enumerators, whole where there are none.
     Null and blank texts have no pieces."""
     return X.enumerated_items(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
@@ -143,21 +130,9 @@ def medoid_banding(spark: SparkSession, d: str) -> DataFrame:
     return X.medoids(table(spark, d, "review_passage", "block_id", "page_id", "text"), "page_id", "block_id", "text")
 
 
-@query("""WITH p AS (SELECT a.block_id, levenshtein(a.k, b.k) AS d, length(a.k) AS n FROM (SELECT block_id, page_id, block_index, regexp_replace(lower(text), '[^0-9 ,.]', '', 'g') AS k FROM review_passage WHERE text IS NOT NULL) a JOIN (SELECT page_id, block_index, regexp_replace(lower(text), '[^0-9 ,.]', '', 'g') AS k FROM review_passage WHERE text IS NOT NULL) b ON a.page_id = b.page_id AND b.block_index = a.block_index + 1)
-SELECT block_id, CAST(d AS INT) AS distance, CASE WHEN n > 0 THEN round(d / n, 6) END AS cer FROM p""")
-def edit_distance_cer(spark: SparkSession, d: str) -> DataFrame:
-    """edit distance and rate of digits, blanks, commas and points of neighbouring
-    blocks, as its SQL asks; of the whole texts: ``edit_distance_cer_whole``."""
-    k = F.regexp_replace(F.lower("text"), "[^0-9 ,.]", "")
-    p = table(spark, d, "review_passage", "block_id", "page_id", "block_index", "text").where("text is not null").withColumn("k", k)
-    b = p.select("page_id", (F.col("block_index") - 1).alias("block_index"), F.col("k").alias("kb"))
-    dist = F.levenshtein("k", "kb")
-    return p.join(b, ["page_id", "block_index"]).select("block_id", dist.alias("distance"), F.when(F.length("k") > 0, F.round(dist / F.length("k"), 6)).alias("cer"))
-
-
 @query(None)
-def edit_distance_cer_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Edit distance and error rate of the whole texts of neighbouring blocks.
+def edit_distance_cer(spark: SparkSession, d: str) -> DataFrame:
+    """Edit distance and error rate of the whole texts of neighbouring blocks.
 
     Characters count as stored, case too. No SQL: DuckDB's distance counts bytes."""
     p = table(spark, d, "review_passage", "block_id", "page_id", "block_index", "text").where("text is not null")
@@ -166,26 +141,24 @@ def edit_distance_cer_whole(spark: SparkSession, d: str) -> DataFrame:
     return p.join(b, ["page_id", "block_index"]).withColumn("distance", dist).select("block_id", "distance", F.when(n > 0, F.round(F.col("distance") / n, 6)).alias("cer"))
 
 
-_READINGS = [("r1", ["домъ", "дом", "домъ"]), ("r2", ["", "театръ", None]), ("r3", ["мiръ", "міръ", "міръ"]), ("r4", ["a", "b", "c"]), ("r5", ["вечеръ", "вечерь", "вечеръ"])]
-
-
-@query("""SELECT * FROM (VALUES ('r1', 'домъ', 'hard or soft sign'), ('r2', 'театръ', 'present in some'), ('r3', 'міръ', 'other letters'), ('r4', 'REVIEW:a|b|c', 'other letters'), ('r5', 'вечеръ', 'hard or soft sign')) AS t(case_id, chosen, kind)""")
+@query(None)
 def reading_selector(spark: SparkSession, d: str) -> DataFrame:
-    """Offered readings only: drop blanks, mixed script loses, then majority."""
-    df = spark.createDataFrame(_READINGS, "case_id string, readings array<string>")
-    return X.select_reading(df, "case_id", "readings")
+    """Of the titles typed for one production a reading that was offered: blanks
+    dropped, mixed script loses, then majority, else a REVIEW entry."""
+    t = table(spark, d, "same_title_works", "production_entry_id", "same_title_id", "verbatim_title").where("production_entry_id is not null").distinct()
+    offered = F.transform(F.sort_array(F.collect_list(F.struct("same_title_id", F.coalesce("verbatim_title", F.lit("")).alias("v")))), lambda x: x["v"])
+    return X.select_reading(t.groupBy("production_entry_id").agg(offered.alias("readings")), "production_entry_id", "readings")
 
 
-@query("""SELECT * FROM (VALUES ('k1', 'agreed', '1898'), ('k2', 'conflict', '1901'), ('k3', 'blank agreed', NULL), ('k4', 'single', '1900'), ('k5', 'agreed', '1902')) AS t(k, verdict, value)""")
+@query("""WITH t AS (SELECT DISTINCT same_title_id, production_entry_id AS k, nullif(theater, '') AS p FROM same_title_works WHERE production_entry_id IS NOT NULL),
+c AS (SELECT k, p, CASE WHEN p IS NULL THEN 0 ELSE count(*) END AS n FROM t GROUP BY k, p),
+g AS (SELECT k, count(p) AS v, sum(n) AS votes, arg_max(p, (n, p)) FILTER (WHERE p IS NOT NULL) AS value FROM c GROUP BY k)
+SELECT k, CASE WHEN v = 0 THEN 'blank agreed' WHEN v > 1 THEN 'conflict' WHEN votes = 1 THEN 'single' ELSE 'agreed' END AS verdict, value FROM g""")
 def kind_vote(spark: SparkSession, d: str) -> DataFrame:
-    """X11, V4: votes of several passes: agreed, conflict (mode wins), single, blank."""
-    rows = [("k1", ["1898", "1898"]), ("k2", ["1901", "1901", "1907"]), ("k3", [None, ""]), ("k4", [None, "1900"]), ("k5", ["1902", "1902", ""])]
-    df = spark.createDataFrame(rows, "k string, passes array<string>")
-    v = df.select("k", F.explode_outer("passes").alias("p")).withColumn("p", F.nullif("p", F.lit("")))
-    c = v.groupBy("k", "p").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0))
-    g = c.groupBy("k").agg(F.count("p").alias("values"), F.sum("n").alias("votes"), F.max(F.when(F.col("p").isNotNull(), F.struct("n", "p"))).alias("b"))
-    verdict = F.when(F.col("values") == 0, "blank agreed").when(F.col("values") > 1, "conflict").when(F.col("votes") == 1, "single").otherwise("agreed")
-    return g.select("k", verdict.alias("verdict"), F.col("b.p").alias("value"))
+    """X11: what several passes say of one field: agreed, conflict (most votes win, the
+    last by name at a tie), single, blank."""
+    t = table(spark, d, "same_title_works", "same_title_id", "production_entry_id", "theater").where("production_entry_id is not null").distinct()
+    return X.vote(t.select(F.col("production_entry_id").alias("k"), F.nullif("theater", F.lit("")).alias("p")), "k", "p")
 
 
 @query("""WITH f AS (
@@ -195,7 +168,7 @@ UNION ALL SELECT 'dark_with_content', CAST(event_id AS VARCHAR) FROM events WHER
 UNION ALL SELECT 'unknown_vocabulary', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'))
 SELECT flag, row_id FROM f""")
 def quality_union(spark: SparkSession, d: str) -> DataFrame:
-    """Q1, Q7, Q8, Q9, Q10, Q14, Q16: flags of several checks in one long table."""
+    """Q7, Q8, Q9, Q10, Q14, Q16: flags of several checks in one long table."""
     l = table(spark, d, "lineitem", "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").count().where("count > 1")
     e = table(spark, d, "events", "event_id", "user_id", "event_type", "ts", "value")
     z = e.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("dark"), F.countDistinct(F.to_date("ts")).alias("days")).where("dark = 0 and days >= 6")
@@ -264,37 +237,27 @@ def season_overview(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT DISTINCT credit_id, production_entry_id, role_category, name_printed FROM production_entry_credit) SELECT role_category, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT production_entry_id) AS BIGINT) AS productions,
 CAST(count(*) FILTER (WHERE name_printed IS NULL OR name_printed = '') AS BIGINT) AS blank FROM c GROUP BY 1""")
 def credit_overview(spark: SparkSession, d: str) -> DataFrame:
-    """Credits by category, repeats once, blanks counted."""
+    """Credits by category, repeats once, blanks counted."""
     c = table(spark, d, "production_entry_credit", "credit_id", "production_entry_id", "role_category", "name_printed").distinct()
     return c.groupBy("role_category").agg(F.count("*").alias("n"), F.countDistinct("production_entry_id").alias("productions"), F.count_if(F.col("name_printed").isNull() | (F.col("name_printed") == "")).alias("blank"))
 
 
-@query(r"""SELECT block_id, CAST(length(trim(regexp_replace(regexp_replace(text, '([A-Za-zА-Яа-яѣі])-\s*\n\s*([a-zа-яѣі])', '\1\2', 'g'), '\s+', ' ', 'g'))) AS INT) AS length FROM review_passage WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\x00-\x7Fа-яА-ЯѣѢіІѳѲ«»—¬=‐­éÉ–№’]')""")
+@query(r"""SELECT block_id, trim(regexp_replace(regexp_replace(text, '(\p{L})-\s*\n\s*(\p{Ll})', '\1\2', 'g'), '\s+', ' ', 'g')) AS joined FROM review_passage WHERE text IS NOT NULL""")
 def rejoined_lines(spark: SparkSession, d: str) -> DataFrame:
     """hyphen-broken lines joined, white space collapsed."""
-    t = table(spark, d, "review_passage", "block_id", "text").where("text is not null").where(~F.col("text").rlike("[^\\x00-\\x7Fа-яА-ЯѣѢіІѳѲ«»—¬=‐­éÉ–№’]"))
-    return t.select("block_id", F.length(rejoin_lines(F.col("text"))).alias("length"))
+    return table(spark, d, "review_passage", "block_id", "text").where("text is not null").select("block_id", rejoin_lines(F.col("text")).alias("joined"))
 
 
-@query("""SELECT family, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT canonical_family_name AS f, regexp_replace(translate(lower(canonical_family_name), 'ѣіѳѵёъь', 'еифие'), '(бб|вв|гг|дд|лл|мм|нн|пп|рр|сс|тт|зз|кк|шш|чч|ии|ее|оо)', '#', 'g') AS x FROM review_person) CROSS JOIN (VALUES ('all')) AS v(family) WHERE f IS NOT NULL GROUP BY 1""")
+@query(f"""SELECT 'all' AS family, count(DISTINCT canonical_family_name) AS names, count(DISTINCT {_fold('canonical_family_name')}) AS n FROM review_person WHERE canonical_family_name IS NOT NULL""")
 def folded_families(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct family names as printed, as its SQL counts them; after the fold (F21):
-    ``folded_family_keys``."""
-    p = table(spark, d, "review_person", "canonical_family_name").where("canonical_family_name is not null").distinct().withColumn("k", spelling_fold(F.col("canonical_family_name")))
-    return p.agg(F.count("k").alias("n")).select(F.lit("all").alias("family"), "n")
-
-
-@query(None)
-def folded_family_keys(spark: SparkSession, d: str) -> DataFrame:
-    """distinct family names before and after the spelling fold. No SQL, as in
-    ``name_variants_folded``."""
+    """distinct family names before and after the spelling fold."""
     p = table(spark, d, "review_person", "canonical_family_name").where("canonical_family_name is not null")
     return p.agg(F.countDistinct("canonical_family_name").alias("names"), F.countDistinct(spelling_fold(F.col("canonical_family_name"))).alias("n")).select(F.lit("all").alias("family"), "names", "n")
 
 
 @query(None)
 def band_stitch(spark: SparkSession, d: str) -> DataFrame:
-    """Consecutive bands of words stitched at their longest overlap."""
+    """Consecutive bands of words stitched at their longest overlap."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def halves(texts: pd.Series) -> pd.Series:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.session import materialize, release
+
 
 def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = None, infer: bool = False) -> DataFrame:
     """Delimited text with a header (S1, S2). With ``columns`` every field is a string
@@ -98,17 +99,16 @@ def export_sqlite(df: DataFrame, path: str, name: str, declared: list[str], most
     """One SQLite table of a small frame, written by the driver in batches (K3)."""
     import sqlite3
 
-    rows = export_strings(check_columns(df, declared))
-    if rows.limit(most_rows + 1).count() > most_rows:
+    rows = materialize(export_strings(check_columns(df, declared)))
+    if rows.count() > most_rows:
+        release(rows)
         raise ValueError(f"more than {most_rows} rows for a single file; write Parquet")
     with sqlite3.connect(path) as db:
         db.execute(f'CREATE TABLE "{name}" ({", ".join(chr(34) + c + chr(34) + " TEXT" for c in declared)})')
         marks = ", ".join("?" * len(declared))
-        n = 0
-        for row in rows.toLocalIterator():
-            db.execute(f'INSERT INTO "{name}" VALUES ({marks})', tuple(row))
-            n += 1
-    return n
+        n = db.executemany(f'INSERT INTO "{name}" VALUES ({marks})', map(tuple, rows.toLocalIterator())).rowcount
+    release(rows)
+    return max(n, 0)
 
 
 def export_workbook(frames: dict[str, DataFrame], path: str, most_rows: int = 100_000) -> None:
@@ -139,10 +139,8 @@ def export_json(df: DataFrame, key: str, shards: int, path: str) -> None:
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> int:
     """Append the rows whose keys the ledger doesn't hold yet; gives how many (K8)."""
-    spark = df.sparkSession
-    if os.path.exists(path) or "://" in path:
-        known = optional(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
-        df = df.join(known.select(*keys), keys, "left_anti")
+    known = optional(df.sparkSession, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields))
+    df = df.join(known.select(*keys), keys, "left_anti")
     fresh = df.dropDuplicates(keys).select(*df.columns).cache()
     n = fresh.count()
     if n:
