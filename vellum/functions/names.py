@@ -26,6 +26,11 @@ def title_key(title: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(title), ACCENTED + DROPPED, BARE), r"[^\p{L}\p{N}]+", "")
 
 
+def title_key_sql(column: str) -> str:
+    """The same as SQL."""
+    return rf"regexp_replace(translate(lower({column}), '{ACCENTED}{DROPPED}', '{BARE}'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
 def genre_split(title: Column, vocabulary: list[str]) -> tuple[Column, Column]:
     """(title without its genre, genre in full); a suffix outside the vocabulary
     belongs to the title (F24)."""

@@ -37,6 +37,17 @@ def number_gaps(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     return df.where(F.col(number).isNotNull()).select(*keys, number).distinct().select(*keys, F.col(number).alias("after"), step.alias("missing")).where("missing > 0")
 
 
+def number_gaps_allowing(df: DataFrame, keys: list[str], order: list[str], number: str) -> DataFrame:
+    """(keys, after, hole, unnumbered, missing): holes in the numbers of ordered rows that
+    are wider than the rows without a number between them allow (W12)."""
+    w = Window.partitionBy(*keys).orderBy(*_order(order))
+    blank = F.sum(F.when(F.col(number).isNull(), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    known = df.withColumn("_blank", blank).where(F.col(number).isNotNull())
+    hole, between = F.lead(number).over(w) - F.col(number) - 1, F.lead("_blank").over(w) - F.col("_blank")
+    told = known.select(*keys, F.col(number).alias("after"), hole.alias("hole"), between.alias("unnumbered"))
+    return told.where("hole > 0 and hole > unnumbered").withColumn("missing", F.col("hole") - F.col("unnumbered"))
+
+
 def fill_from_next(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """A null takes the value of the next row of its key."""
     w = Window.partitionBy(*keys).orderBy(*_order(order))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.names import title_key, title_key_sql
 from vellum.functions.text import natural_id, ordinal_split, squash, stem_key
 from vellum.operators import matching as M
 from vellum.operators.sizing import lookup
@@ -12,6 +13,8 @@ from vellum.sources.tables import table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+#: SQL of the distinct entries with the key of their title.
+KEYED_ENTRIES = f"e AS (SELECT DISTINCT production_entry_id, season, city, {title_key_sql('title')} AS k FROM production_entry WHERE title IS NOT NULL)"
 
 
 def query(sql: str | None):
@@ -77,14 +80,23 @@ def supersession_chain(spark: SparkSession, d: str) -> DataFrame:
     return M.final_of_chain(m, "c_custkey", "to")
 
 
-@query("""WITH s AS (SELECT c_nationkey, c_mktsegment, c_custkey, list_sort(list(DISTINCT year(o_orderdate))) AS ys, list_sort(list(DISTINCT strftime(o_orderdate, '%Y-%m'))) AS ms FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2, 3)
-SELECT a.c_custkey AS k1, b.c_custkey AS k2, len(list_intersect(a.ys, b.ys)) > 0 AND len(list_intersect(a.ms, b.ms)) = 0 AS merges FROM s a JOIN s b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey""")
+@query(r"""WITH p AS (SELECT DISTINCT least(person_id_1, person_id_2) AS k1, greatest(person_id_1, person_id_2) AS k2, regexp_extract(lower(display_1), '^(\p{L}+)', 1) AS f1, regexp_extract(lower(display_2), '^(\p{L}+)', 1) AS f2, similarity_score AS s, coalesce(status, '') AS st, tenure_signal AS t FROM person_candidate WHERE person_id_1 <> person_id_2),
+g AS (SELECT k1, k2, bool_or(st IN ('rejected', 'kept_apart')) AS barred, max(s) AS s, bool_or(coalesce(t IN ('same_start', 'adjacent'), false)) AS tenure, bool_or(coalesce(left(f1, 4) = left(f2, 4), false)) AS family FROM p GROUP BY 1, 2)
+SELECT k1, k2, CASE WHEN barred THEN 'ruled out' WHEN NOT family THEN 'other family' WHEN coalesce(s, 0) < 0.7 THEN 'not alike enough' WHEN NOT tenure THEN 'no common service' ELSE 'passes' END AS gate FROM g""")
 def gated_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Merge only past all gates: shared year, no shared month."""
-    o = table(spark, d, "orders", "o_custkey", "o_orderdate").groupBy("o_custkey").agg(F.collect_set(F.year("o_orderdate")).alias("ys"), F.collect_set(F.date_format("o_orderdate", "yyyy-MM")).alias("ms"))
-    c = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment").join(o, F.col("c_custkey") == F.col("o_custkey")).drop("o_custkey")
-    p = M.blocked_pairs(c, "c_custkey", ["c_nationkey", "c_mktsegment"], ["ys", "ms"])
-    return p.select(F.col("c_custkey_1").alias("k1"), F.col("c_custkey_2").alias("k2"), (F.arrays_overlap("ys_1", "ys_2") & ~F.arrays_overlap("ms_1", "ms_2")).alias("merges"))
+    """A candidate pair merges only past all gates; else the first that closed.
+    Groups are then closed and held back in ``lifecycle_groups``."""
+    p = table(spark, d, "person_candidate", "person_id_1", "person_id_2", "display_1", "display_2", "similarity_score", "status", "tenure_signal").where("person_id_1 <> person_id_2")
+    family = lambda c: F.left(F.regexp_extract(F.lower(c), r"^(\p{L}+)", 1), F.lit(4))
+    no = F.lit(False)
+    g = p.groupBy(F.least("person_id_1", "person_id_2").alias("k1"), F.greatest("person_id_1", "person_id_2").alias("k2")).agg(
+        F.bool_or(F.coalesce(F.col("status").isin("rejected", "kept_apart"), no)).alias("barred"),
+        F.max("similarity_score").alias("s"),
+        F.bool_or(F.coalesce(F.col("tenure_signal").isin("same_start", "adjacent"), no)).alias("tenure"),
+        F.bool_or(F.coalesce(family("display_1") == family("display_2"), no)).alias("family"),
+    )
+    gate = F.when(F.col("barred"), "ruled out").when(~F.col("family"), "other family").when(F.coalesce("s", F.lit(0.0)) < 0.7, "not alike enough").when(~F.col("tenure"), "no common service").otherwise("passes")
+    return g.select("k1", "k2", gate.alias("gate"))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_acctbal >= 0 AND s_nationkey < 20 AND s_suppkey % 3 > 0 THEN 'accept' ELSE 'review' END AS decision,
@@ -143,33 +155,38 @@ def id_continuity(spark: SparkSession, d: str) -> DataFrame:
     return cur.join(old, "nk", "left").join(fresh, "nk", "left").select("nk", F.coalesce("id", "fresh").alias("id"), F.col("id").isNotNull().alias("kept"))
 
 
-@query("""WITH a AS (SELECT o_orderkey, c_nationkey AS n, floor(c_acctbal / 500) AS b, c_mktsegment AS m FROM orders JOIN customer ON c_custkey = o_custkey),
-c AS (SELECT o_orderkey, c_custkey, (CASE WHEN c_mktsegment = a.m THEN 6 ELSE -4 END) + (CASE WHEN c_custkey % 4 = o_orderkey % 4 THEN 4 ELSE 0 END) + (CASE WHEN c_acctbal < 0 THEN -5 ELSE 0 END) AS score FROM a JOIN customer ON c_nationkey = a.n AND floor(c_acctbal / 500) = a.b),
-r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS s2 FROM c WINDOW w AS (PARTITION BY o_orderkey ORDER BY score DESC, c_custkey))
-SELECT o_orderkey, CASE WHEN score - coalesce(s2, -99) >= 4 THEN c_custkey END AS linked, CAST(score AS INT) AS score, CAST(score - coalesce(s2, -99) AS INT) AS margin FROM r WHERE k = 1""")
+@query(r"""WITH m AS (SELECT DISTINCT mention_id, season, city, surface, regexp_extract(surface, '(\p{L}+)\P{L}*$', 1) AS f, TRY_CAST(left(season, 4) AS INT) AS y FROM review_mention WHERE mention_type = 'person' AND surface IS NOT NULL AND season IS NOT NULL),
+p AS (SELECT person_id, canonical_family_name AS f, TRY_CAST(nullif(regexp_extract(first_attested_season, '(\d{4})', 1), '') AS INT) AS a, TRY_CAST(nullif(regexp_extract(coalesce(last_attested_season, first_attested_season), '(\d{4})', 1), '') AS INT) AS z, coalesce(cities, '') AS cities, n_mentions FROM review_person),
+c AS (SELECT mention_id, person_id, (CASE WHEN contains(cities, coalesce(city, '?')) THEN 6 ELSE -4 END) + (CASE WHEN coalesce(n_mentions, 0) >= 10 THEN 4 ELSE 0 END) AS score FROM m JOIN p ON m.f = p.f AND m.y BETWEEN least(p.a, p.z) AND greatest(p.a, p.z)),
+r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS s2 FROM c WINDOW w AS (PARTITION BY mention_id ORDER BY score DESC, person_id))
+SELECT mention_id, CASE WHEN score - coalesce(s2, -99) >= 4 THEN person_id END AS linked, CAST(score AS INT) AS score, CAST(score - coalesce(s2, -99) AS INT) AS margin FROM r WHERE k = 1""")
 def evidence_ranker(spark: SparkSession, d: str) -> DataFrame:
-    """M2: summed evidence, linked only with a margin to the second.
-
-    Candidates are blocked by nation and account band, so each order meets few."""
-    c = table(spark, d, "customer").withColumn("b", F.floor(F.col("c_acctbal") / 500))
-    a = table(spark, d, "orders", "o_orderkey", "o_custkey").join(c, F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_nationkey", "b", F.col("c_mktsegment").alias("m"))
-    s = F.when(F.col("c_mktsegment") == F.col("m"), 6).otherwise(-4) + F.when(F.col("c_custkey") % 4 == F.col("o_orderkey") % 4, 4).otherwise(0) + F.when(F.col("c_acctbal") < 0, -5).otherwise(0)
-    w = Window.partitionBy("o_orderkey").orderBy(F.desc("score"), "c_custkey")
-    r = a.join(c, ["c_nationkey", "b"]).withColumn("score", s).withColumn("k", F.row_number().over(w)).withColumn("margin", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(-99)))
-    return r.where("k = 1").select("o_orderkey", F.when(F.col("margin") >= 4, F.col("c_custkey")).alias("linked"), "score", "margin")
-
-
-@query("""WITH y AS (SELECT o_custkey AS c, list(DISTINCT year(o_orderdate)) AS ys, list(DISTINCT CAST(o_orderdate AS DATE)) AS ds FROM orders GROUP BY 1), s AS (SELECT c_custkey AS c, c_nationkey AS n, c_mktsegment AS m, ys, ds FROM customer JOIN y ON c_custkey = c),
-p AS (SELECT a.c AS c1, b.c AS c2, len(list_intersect(a.ds, b.ds)) AS shared, len(list_intersect(a.ys, b.ys)) = 0 AS apart FROM s a JOIN s b ON a.n = b.n AND a.m = b.m AND a.c < b.c)
-SELECT c1, c2, CAST(shared AS INT) AS shared, CASE WHEN shared > 0 AND apart THEN 'corroborated' WHEN shared > 0 THEN 'shared date' WHEN apart THEN 'apart' ELSE 'none' END AS evidence FROM p""")
+    """M2: summed evidence for the persons of a mention, linked only with a margin.
+
+    Persons meet a mention on the family and a season they are attested in, so each
+    mention meets the few of that name and year, however many rows there are."""
+    m = table(spark, d, "review_mention", "mention_id", "mention_type", "season", "city", "surface").where("mention_type = 'person' and surface is not null and season is not null")
+    m = m.select("mention_id", "city", F.regexp_extract("surface", r"(\p{L}+)\P{L}*$", 1).alias("f"), F.left("season", F.lit(4)).try_cast("int").alias("y")).distinct()
+    year = lambda c: F.regexp_extract(c, r"(\d{4})", 1).try_cast("int")
+    a, z = year(F.col("first_attested_season")), year(F.coalesce("last_attested_season", "first_attested_season"))
+    p = table(spark, d, "review_person", "person_id", "canonical_family_name", "first_attested_season", "last_attested_season", "cities", "n_mentions").where(a.isNotNull() & z.isNotNull())
+    p = p.select("person_id", F.col("canonical_family_name").alias("f"), F.explode(F.sequence(F.least(a, z), F.greatest(a, z))).alias("y"), F.coalesce("cities", F.lit("")).alias("cities"), "n_mentions")
+    score = F.when(F.col("cities").contains(F.coalesce("city", F.lit("?"))), 6).otherwise(-4) + F.when(F.coalesce("n_mentions", F.lit(0)) >= 10, 4).otherwise(0)
+    w = Window.partitionBy("mention_id").orderBy(F.desc("score"), "person_id")
+    r = m.join(p, ["f", "y"]).withColumn("score", score).withColumn("k", F.row_number().over(w)).withColumn("margin", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(-99)))
+    return r.where("k = 1").select("mention_id", F.when(F.col("margin") >= 4, F.col("person_id")).alias("linked"), "score", "margin")
+
+
+@query("""WITH o AS (SELECT DISTINCT c_custkey AS c, c_nationkey AS n, c_mktsegment AS m, CAST(o_orderdate AS DATE) AS d FROM orders JOIN customer ON c_custkey = o_custkey),
+p AS (SELECT a.c AS c1, b.c AS c2, count(*) AS shared FROM o a JOIN o b ON a.n = b.n AND a.m = b.m AND a.d = b.d AND a.c < b.c GROUP BY 1, 2)
+SELECT c1, c2, CAST(shared AS INT) AS shared, CASE WHEN shared > 1 THEN 'corroborated' ELSE 'shared date' END AS evidence FROM p""")
 def corroborated_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Blocked pairs weighed by shared dates and disjoint years."""
-    y = table(spark, d, "orders", "o_custkey", "o_orderdate").groupBy("o_custkey").agg(F.collect_set(F.year("o_orderdate")).alias("ys"), F.collect_set(F.to_date("o_orderdate")).alias("ds"))
-    c = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment").join(y, F.col("c_custkey") == F.col("o_custkey")).drop("o_custkey")
-    p = M.blocked_pairs(c, "c_custkey", ["c_nationkey", "c_mktsegment"], ["ys", "ds"])
-    shared, apart = F.size(F.array_intersect("ds_1", "ds_2")), ~F.arrays_overlap("ys_1", "ys_2")
-    e = F.when((shared > 0) & apart, "corroborated").when(shared > 0, "shared date").when(apart, "apart").otherwise("none")
-    return p.select(F.col("c_custkey_1").alias("c1"), F.col("c_custkey_2").alias("c2"), shared.alias("shared"), e.alias("evidence"))
+    """Pairs that share a date, weighed by how many; blocked on the shared date
+    first, so that rows without common evidence never meet."""
+    c = table(spark, d, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    o = table(spark, d, "orders", "o_custkey", F.to_date("o_orderdate").alias("d")).join(c, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_nationkey", "c_mktsegment", "d").distinct()
+    p = M.blocked_pairs(o, "c_custkey", ["c_nationkey", "c_mktsegment", "d"], []).groupBy(F.col("c_custkey_1").alias("c1"), F.col("c_custkey_2").alias("c2")).agg(F.count("*").cast("int").alias("shared"))
+    return p.withColumn("evidence", F.when(F.col("shared") > 1, "corroborated").otherwise("shared date"))
 
 
 @query("""WITH RECURSIVE t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey - c_custkey % 4 END AS parent, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment END AS own FROM customer)
@@ -191,15 +208,21 @@ def two_way_audit(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy(c.alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT c_custkey AS k, c_nationkey AS n, floor(c_acctbal / 300) AS b, c_mktsegment AS m FROM customer),
-c AS (SELECT s_suppkey, list_sort(list(k)) AS s0, list_sort(list(k) FILTER (WHERE m = 'BUILDING')) AS s1 FROM supplier JOIN a ON n = s_nationkey AND b = floor(s_acctbal / 300) GROUP BY 1)
-SELECT s_suppkey, CASE WHEN len(s0) = 1 THEN s0[1] WHEN len(s1) = 1 THEN s1[1] END AS chosen, CASE WHEN len(s0) = 1 THEN 'sole' WHEN len(s1) = 1 THEN 'by segment' ELSE 'open' END AS rung FROM c""")
+@query(f"""WITH {KEYED_ENTRIES}, t AS (SELECT DISTINCT same_title_id, season, city, {title_key_sql('verbatim_title')} AS k FROM same_title_works WHERE verbatim_title IS NOT NULL),
+a AS (SELECT k, count(*) AS n, min(production_entry_id) AS i FROM e GROUP BY k), b AS (SELECT k, city, count(*) AS n, min(production_entry_id) AS i FROM e GROUP BY k, city), c AS (SELECT k, city, season, count(*) AS n, min(production_entry_id) AS i FROM e GROUP BY k, city, season)
+SELECT same_title_id, CASE WHEN a.n = 1 THEN a.i WHEN b.n = 1 THEN b.i WHEN c.n = 1 THEN c.i END AS chosen, CASE WHEN a.n = 1 THEN 'sole' WHEN b.n = 1 THEN 'by city' WHEN c.n = 1 THEN 'by season' ELSE 'open' END AS rung
+FROM t JOIN a USING (k) LEFT JOIN b ON b.k = t.k AND b.city = t.city LEFT JOIN c ON c.k = t.k AND c.city = t.city AND c.season = t.season WHERE t.k <> ''""")
 def tie_break_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates filtered rung by rung until one is left."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"), F.floor(F.col("c_acctbal") / 300).alias("b"), (F.col("c_mktsegment") == "BUILDING").alias("m"))
-    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.floor(F.col("s_acctbal") / 300).alias("b"))
-    g = s.join(c, ["n", "b"]).groupBy("s_suppkey").agg(F.count("*").alias("n0"), F.min("k").alias("k0"), F.count_if("m").alias("n1"), F.min(F.when(F.col("m"), F.col("k"))).alias("k1"))
-    return g.select("s_suppkey", F.when(F.col("n0") == 1, F.col("k0")).when(F.col("n1") == 1, F.col("k1")).alias("chosen"), F.when(F.col("n0") == 1, "sole").when(F.col("n1") == 1, "by segment").otherwise("open").alias("rung"))
+    """Candidates narrowed rung by rung until one is left. Each rung
+    is a count of its candidates, so that no pairs are formed."""
+    e = table(spark, d, "production_entry", "production_entry_id", "season", "city", "title").where("title is not null").withColumn("k", title_key(F.col("title"))).drop("title").distinct()
+    t = table(spark, d, "same_title_works", "same_title_id", "season", "city", "verbatim_title").where("verbatim_title is not null")
+    t = t.select("same_title_id", "season", "city", title_key(F.col("verbatim_title")).alias("k")).where("k <> ''").distinct()
+    rung = lambda keys, i: e.groupBy(*keys).agg(F.count("*").alias(f"n{i}"), F.min("production_entry_id").alias(f"i{i}"))
+    told = t.join(rung(["k"], 0), "k").join(rung(["k", "city"], 1), ["k", "city"], "left").join(rung(["k", "city", "season"], 2), ["k", "city", "season"], "left")
+    one = lambda i: F.col(f"n{i}") == 1
+    chosen = F.when(one(0), F.col("i0")).when(one(1), F.col("i1")).when(one(2), F.col("i2"))
+    return told.select("same_title_id", chosen.alias("chosen"), F.when(one(0), "sole").when(one(1), "by city").when(one(2), "by season").otherwise("open").alias("rung"))
 
 
 @query("""WITH a AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority = '5-LOW'),

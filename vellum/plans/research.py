@@ -28,11 +28,7 @@ def query(sql: str | None):
     return put
 
 
-def _key(column: str) -> str:
-    """SQL of a title's key."""
-    return rf"regexp_replace(translate(lower({column}), '{N.ACCENTED}{N.DROPPED}', '{N.BARE}'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
-
-
+_key = N.title_key_sql
 _ENTRIES = f"e AS (SELECT DISTINCT production_entry_id, season, city, {_key('title')} AS k FROM production_entry WHERE title IS NOT NULL)"
 _WORKS = f"w AS (SELECT work_id, {_key('canonical_title')} AS k FROM research_work WHERE canonical_title IS NOT NULL)"
 

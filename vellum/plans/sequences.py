@@ -87,31 +87,35 @@ def monotonic_check(spark: SparkSession, d: str) -> DataFrame:
     return R.falls_back(o, ["o_custkey"], ["o_orderkey"], "o_orderdate", "out_of_order").drop("o_orderdate")
 
 
-@query("""WITH s AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 2 ELSE 3 END AS section, l_orderkey FROM lineitem), b AS (SELECT l_suppkey, section, min(l_orderkey) AS a, max(l_orderkey) AS z FROM s GROUP BY 1, 2)
-SELECT x.l_suppkey, x.section, y.section AS later_section FROM b x JOIN b y ON x.l_suppkey = y.l_suppkey AND x.section < y.section WHERE x.z > y.a""")
+@query("""WITH s AS (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 1 WHEN l_returnflag = 'N' THEN 2 ELSE 3 END AS section FROM lineitem),
+m AS (SELECT *, max(section) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s)
+SELECT l_suppkey, section, CAST(count(*) AS BIGINT) AS rows_back, min(l_orderkey) AS first_order FROM m WHERE section < top GROUP BY 1, 2""")
 def running_max_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """A section that goes on past the start of a later one."""
+    """Rows of a section behind the highest section reached before them."""
     f = F.col("l_returnflag")
-    b = table(spark, d, "lineitem", "l_suppkey", "l_returnflag", "l_orderkey").withColumn("section", F.when(f == "A", 1).when(f == "N", 2).otherwise(3))
-    b = b.groupBy("l_suppkey", "section").agg(F.min("l_orderkey").alias("a"), F.max("l_orderkey").alias("z"))
-    y = b.select("l_suppkey", F.col("section").alias("later_section"), F.col("a").alias("ya"))
-    return b.join(y, "l_suppkey").where("section < later_section and z > ya").select("l_suppkey", "section", "later_section")
+    b = table(spark, d, "lineitem", "l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber").withColumn("section", F.when(f == "A", 1).when(f == "N", 2).otherwise(3)).drop("l_returnflag").distinct()
+    back = R.falls_back(b, ["l_suppkey"], ["l_orderkey", "l_linenumber", "section"], "section").where("falls_back")
+    return back.groupBy("l_suppkey", "section").agg(F.count("*").alias("rows_back"), F.min("l_orderkey").alias("first_order"))
 
 
-@query("""WITH x AS (SELECT DISTINCT user_id, event_id FROM events WHERE event_type = 'signup'), g AS (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id - 1 AS m FROM x)
-SELECT user_id, event_id AS after, CAST(m AS BIGINT) AS missing FROM g WHERE m > 0""")
+@query("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'signup' THEN event_id END AS n FROM events), u AS (SELECT *, count(*) FILTER (WHERE n IS NULL) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS blank FROM e),
+g AS (SELECT user_id, n, lead(n) OVER w - n - 1 AS hole, lead(blank) OVER w - blank AS between_ FROM u WHERE n IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, n AS after, CAST(hole AS BIGINT) AS hole, CAST(between_ AS BIGINT) AS unnumbered, CAST(hole - between_ AS BIGINT) AS missing FROM g WHERE hole > 0 AND hole > between_""")
 def number_gap_allowance(spark: SparkSession, d: str) -> DataFrame:
-    """Holes in a numbering."""
-    return R.number_gaps(table(spark, d, "events", "user_id", "event_id", "event_type").where("event_type = 'signup'"), ["user_id"], "event_id").select("user_id", "after", "missing")
+    """Holes in a numbering beyond what unnumbered rows between allow for."""
+    e = table(spark, d, "events", "user_id", "event_id", "event_type").withColumn("n", F.when(F.col("event_type") == "signup", F.col("event_id")))
+    return R.number_gaps_allowing(e, ["user_id"], ["event_id"], "n")
 
 
-@query("""WITH p AS (SELECT page_id, block_index, block_id, block_type, lead(block_type) OVER w AS nx, lag(block_type) OVER w AS pv FROM review_passage WINDOW w AS (PARTITION BY page_id ORDER BY block_index, block_id))
-SELECT block_id, nx = 'plate' AND coalesce(pv, '') = 'heading' AS shifted FROM p WHERE block_type = 'paragraph' AND nx IS NOT NULL""")
+@query("""WITH m AS (SELECT DISTINCT mention_id, block_id, char_start, link_confidence FROM review_mention WHERE block_id IS NOT NULL),
+n AS (SELECT *, CASE WHEN link_confidence IS NOT DISTINCT FROM lag(link_confidence) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM m WINDOW w AS (PARTITION BY block_id ORDER BY char_start NULLS LAST, mention_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY block_id ORDER BY char_start NULLS LAST, mention_id ROWS UNBOUNDED PRECEDING) AS run FROM n)
+SELECT block_id, min(mention_id) AS first_mention, CAST(count(*) AS BIGINT) AS length FROM r WHERE link_confidence = 'low' GROUP BY block_id, run HAVING count(*) >= 3""")
 def shift_block(spark: SparkSession, d: str) -> DataFrame:
-    """A row judged by its neighbours on both sides."""
-    w = Window.partitionBy("page_id").orderBy("block_index", "block_id")
-    p = table(spark, d, "review_passage", "page_id", "block_index", "block_id", "block_type").withColumn("nx", F.lead("block_type").over(w)).withColumn("pv", F.lag("block_type").over(w))
-    return p.where("block_type = 'paragraph' and nx is not null").select("block_id", ((F.col("nx") == "plate") & (F.coalesce("pv", F.lit("")) == "heading")).alias("shifted"))
+    """Stretches of at least three doubtful rows in a row; shorter ones are chance."""
+    m = table(spark, d, "review_mention", "mention_id", "block_id", "char_start", "link_confidence").where("block_id is not null").distinct()
+    runs = R.islands(m, ["block_id"], ["char_start", "mention_id"], "link_confidence").where("link_confidence = 'low'")
+    return runs.groupBy("block_id", "run_no").agg(F.min("mention_id").alias("first_mention"), F.count("*").alias("length")).where("length >= 3").drop("run_no")
 
 
 @query("""WITH o AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before_id FROM events)
