@@ -57,6 +57,16 @@ def _hadoop(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver ends."""
+    home = f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}"
+    if home not in _MARKED:
+        _MARKED.add(home)
+        fs, target = _hadoop(spark, home)
+        fs.deleteOnExit(target)
+    return home
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write to the shared folder as Parquet and read it again.
 
@@ -65,12 +75,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     the innermost open ``scratch`` and go with it; others go when the driver ends.
     """
     spark = df.sparkSession
-    home = f"{shared_dir(spark)}/vellum/{spark.sparkContext.applicationId}"
-    if home not in _MARKED:
-        _MARKED.add(home)
-        fs, target = _hadoop(spark, home)
-        fs.deleteOnExit(target)
-    path = f"{home}/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
