@@ -67,3 +67,9 @@ def test_a_very_long_interval_stays_a_few_rows(spark):
     df = spark.createDataFrame([("a", 3, 10**15), ("a", 10**15, 10**15 + 1), ("a", -5, 1), ("b", 0, 8), ("b", 8, 16), ("b", 17, 40)], "k string, s long, e long")
     got = sorted(map(tuple, merge_intervals(df, "k", "s", "e").collect()))
     assert got == [("a", -5, 1), ("a", 3, 10**15 + 1), ("b", 0, 16), ("b", 17, 40)]
+
+
+def test_runs_inside_a_range_of_covered_shards(spark):
+    rows = [("a", -10, -9, "x"), ("a", -17, 0, "x"), ("b", 3, 4, "x"), ("b", 5, 6, "x"), ("b", -30, 40, "x"), ("c", 3, 4, "x"), ("c", 16, 33, "x")]
+    got = {tuple(r) for r in merge_intervals(spark.createDataFrame(rows, SPAN), "person", "start", "end").collect()}
+    assert got == {("a", -17, 0), ("b", -30, 40), ("c", 3, 4), ("c", 16, 33)}

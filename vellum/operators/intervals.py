@@ -51,7 +51,13 @@ def merge_intervals(
     reduced = clipped.groupBy("_k", "_h", "_s").agg(F.max("_e").alias("_e"))
     local = materialize(_runs(reduced, ["_k", "_h"], "_s", "_e"))
     touches = F.col("_h").isNull() | (F.col("_s") == F.col("_h") * w) | (F.col("_e") == (F.col("_h") + 1) * w)
-    inner = local.where(~touches).select("_k", "_s", "_e")
+    inner = local.where(~touches)
+    # what lies inside a range of covered shards is covered: told by shard, not by row
+    covers = local.where("_h is null").select("_k", F.floor(F.col("_s") / w).alias("_h"), F.floor(F.col("_e") / w).alias("_to"))
+    shards = inner.select("_k", "_h").distinct().withColumn("_to", F.lit(None).cast("long"))
+    upto = Window.partitionBy("_k").orderBy("_h", F.col("_to").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    free = shards.unionByName(covers).withColumn("_reach", F.max("_to").over(upto)).where("_to is null and (_reach is null or _reach <= _h)").select("_k", "_h")
+    inner = inner.join(free, ["_k", "_h"], "left_semi").select("_k", "_s", "_e")
     edge = _runs(local.where(touches).select("_k", "_s", "_e"), ["_k"], "_s", "_e")
     return inner.unionByName(edge).select(
         F.col("_k").alias(entity), F.col("_s").alias(start), F.col("_e").alias(end)
