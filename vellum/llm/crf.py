@@ -264,7 +264,10 @@ class Field:
         around = _around(block, kinds[at[0]], self.shapes.get("I", -1), self.shapes.get(".", -1))
         code = [(k[a] * SHAPES + k[b]) * SHAPES + k[c] for a, b, c in ((-1, 0, 1), (-2, -1, 0), (0, 1, 2))]
         code += around
-        return {"rows": rows, "at": at, "codes": code, "flags": (block.quoted * 2 + block.repeat) * SHAPES + k[0]}
+        ready = {"rows": rows, "at": at, "codes": code, "flags": (block.quoted * 2 + block.repeat) * SHAPES + k[0], "form": self.formed(block)}
+        if self.codes:
+            ready["found"] = [self._found(slot, code[slot]) for slot in range(TEMPLATES)]
+        return ready
 
     def _found(self, slot: int, code: np.ndarray) -> np.ndarray:
         """Rows of the shape codes, 0 for codes without a weight."""
@@ -285,9 +288,9 @@ class Field:
         for i, o in enumerate(OFFSETS):
             own += self.w["word"][i][d["rows"]].sum(axis=1, dtype=np.float32)[d["at"][o]]
         for slot in range(TEMPLATES):
-            own += self.w["code"][slot][self._found(slot, d["codes"][slot])]
+            own += self.w["code"][slot][d["found"][slot]]
         own += self.w["flag"][d["flags"]]
-        tokens, feats = self.formed(block)
+        tokens, feats = d["form"]
         for label in range(L):
             own[:, label] += np.bincount(tokens, self.w["form"][feats, label], minlength=len(own)).astype(np.float32)
         return own + self.w["bias"]
@@ -447,9 +450,8 @@ class Field:
                 seen.update(fs)
         self.features = {f: i + 1 for i, f in enumerate(sorted(f for f, n in seen.items() if n >= LEAST_SEEN))}
         self.shapes = {s: i + 2 for i, (s, _) in enumerate(sorted(kinds.items(), key=lambda x: (-x[1], x[0]))[: SHAPES - 2])}
-        self._seen = {}
+        self._seen, self.codes = {}, []
         designs = [self.design(b) for b in blocks]
-        self.codes = []
         for slot in range(TEMPLATES):
             code, n = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *(d["codes"][slot] for d in designs)]), return_counts=True)
             kept = code[n >= LEAST_SEEN]
@@ -470,9 +472,11 @@ class Field:
         def gather(index: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
             return np.stack([np.bincount(index, g[:, label], minlength=size) for label in range(L)], axis=1).astype(np.float32)
 
-        prepared = [(self.formed(b), [self._found(s, d["codes"][s]) for s in range(TEMPLATES)]) for b, d in zip(blocks, designs)]
+        for d in designs:
+            d["found"] = [self._found(slot, d["codes"][slot]) for slot in range(TEMPLATES)]
         for _ in range(rounds):
-            for b, d, y, (form, found) in zip(blocks, designs, labels, prepared):
+            for b, d, y in zip(blocks, designs, labels):
+                form, found = d["form"], d["found"]
                 n = len(b.ids)
                 if not n:
                     continue

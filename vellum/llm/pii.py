@@ -25,7 +25,7 @@ from vellum.session import spread
 #: Documents the field is fitted on, at most, and the longest of them in code points.
 #: They are chosen by a hash of the key; documents beyond the length are labelled like
 #: all others, only not fitted on.
-FIT_DOCS, FIT_CHARS = 4_000, 20_000
+FIT_DOCS, FIT_CHARS = 3_000, 20_000
 #: Documents put into one block of the fit.
 FIT_BLOCK = 400
 
