@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that hold QUERIES and ORACLE.
-MODULES = ["sequences", "periods", "relational", "entities", "texts", "ledgers", "research", "flows"]
+MODULES = ["sequences", "periods", "relational", "entities", "texts", "ledgers", "research", "flows", "audits"]
 
 
 def collect() -> tuple[dict, dict]:
