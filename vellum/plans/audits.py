@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.names import last_word, title_key, title_key_sql
 from vellum.functions.text import squash
+from vellum.operators import mentions
 from vellum.operators import runs as R
 from vellum.operators.sizing import lookup
 from vellum.operators.titles import tiered_titles
@@ -359,3 +360,10 @@ def guarded_corrections(spark: SparkSession, d: str) -> DataFrame:
     applies = F.coalesce((F.col("stored") != F.col("n_dates")) & F.col("said").eqNullSafe(F.col("stored")), F.lit(False))
     x = e.withColumn("applies", applies)
     return x.select("production_entry_id", F.when(F.col("applies"), F.col("n_dates")).otherwise(F.col("stored")).alias("total"), "applies", F.count_if("applies").over(Window.partitionBy("season")).alias("applied_in_season"))
+
+
+@query(None)
+def text_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """M1: works and persons of the lists in the documents, by passes with claims."""
+    works, people = table(spark, d, "research_work", "work_id", "canonical_title"), table(spark, d, "review_person", "person_id", "canonical_family_name")
+    return mentions.text_mentions(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", works, "canonical_title", "work_id", people, "canonical_family_name", "person_id")
