@@ -367,3 +367,45 @@ def text_mentions(spark: SparkSession, d: str) -> DataFrame:
     """M1: works and persons of the lists in the documents, by passes with claims."""
     works, people = table(spark, d, "research_work", "work_id", "canonical_title"), table(spark, d, "review_person", "person_id", "canonical_family_name")
     return mentions.text_mentions(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", works, "canonical_title", "work_id", people, "canonical_family_name", "person_id")
+
+
+@query(r"""WITH f AS (SELECT DISTINCT canonical_family_name AS w FROM review_person WHERE canonical_family_name IS NOT NULL),
+u AS (SELECT DISTINCT page_id, 1 AS reader, regexp_extract(surface, '(\p{L}+)\P{L}*$', 1) AS w FROM review_mention WHERE mention_type = 'person' AND surface IS NOT NULL AND page_id IS NOT NULL
+ UNION SELECT DISTINCT page_id, 2, regexp_extract(name_surface, '(\p{L}+)\P{L}*$', 1) FROM review_credit WHERE name_surface IS NOT NULL AND page_id IS NOT NULL),
+e AS (SELECT page_id, w, count(*) FILTER (WHERE reader = 1) AS a, count(*) FILTER (WHERE reader = 2) AS b FROM u WHERE w NOT IN (SELECT w FROM f) GROUP BY ALL)
+SELECT page_id, CAST(sum(a) AS BIGINT) AS first_reader, CAST(sum(b) AS BIGINT) AS second_reader, count(*) FILTER (WHERE a > 0 AND b > 0) AS joint, coalesce(string_agg(w, ',' ORDER BY w) FILTER (WHERE a > 0 AND b > 0), '') AS words FROM e GROUP BY page_id""")
+def joint_errors(spark: SparkSession, d: str) -> DataFrame:
+    """V4: surnames outside the list that two readers of a page gave, and those both gave."""
+    f = table(spark, d, "review_person", F.col("canonical_family_name").alias("w")).where("w is not null").distinct()
+    side = lambda name, c, keep, r: table(spark, d, name).where(keep).where(f"{c} is not null and page_id is not null").select("page_id", F.lit(r).alias("reader"), last_word(F.col(c)).alias("w")).distinct()
+    u = side("review_mention", "surface", "mention_type = 'person'", 1).unionByName(side("review_credit", "name_surface", "true", 2)).join(lookup(f), "w", "left_anti")
+    e = u.groupBy("page_id", "w").agg(F.count_if(F.col("reader") == 1).alias("a"), F.count_if(F.col("reader") == 2).alias("b"))
+    both = F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("w"))
+    return e.groupBy("page_id").agg(F.sum("a").alias("first_reader"), F.sum("b").alias("second_reader"), F.count(both).alias("joint"), F.array_join(F.sort_array(F.collect_set(both)), ",").alias("words"))
+
+
+@query("""WITH e AS (SELECT DISTINCT production_entry_id, page_id, entry_order, title, fragment FROM production_entry), g AS (SELECT *, count(*) FILTER (WHERE coalesce(fragment, '') <> 'end') OVER (PARTITION BY page_id ORDER BY entry_order, production_entry_id ROWS UNBOUNDED PRECEDING) AS run FROM e)
+SELECT page_id, CAST(run AS BIGINT) AS run, count(*) AS pieces, string_agg(coalesce(title, ''), ' / ' ORDER BY entry_order, production_entry_id) AS title FROM g GROUP BY page_id, run""")
+def merged_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Entries broken over pages put together: an end belongs to the entry before it."""
+    e = table(spark, d, "production_entry", "production_entry_id", "page_id", "entry_order", "title", "fragment").distinct()
+    w = Window.partitionBy("page_id").orderBy("entry_order", "production_entry_id").rowsBetween(Window.unboundedPreceding, 0)
+    g = e.withColumn("run", F.sum(F.when(F.coalesce("fragment", F.lit("")) != "end", 1).otherwise(0)).over(w))
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("entry_order", "production_entry_id", F.coalesce("title", F.lit("")).alias("t")))), lambda x: x["t"])
+    return g.groupBy("page_id", "run").agg(F.count("*").alias("pieces"), F.array_join(pieces, " / ").alias("title"))
+
+
+@query("""WITH c AS (SELECT DISTINCT credit_id, page_id, block_id, char_start, name_surface FROM review_credit WHERE block_id IS NOT NULL AND name_surface IS NOT NULL AND char_start IS NOT NULL),
+m AS (SELECT DISTINCT block_id, char_start, person_id FROM review_mention WHERE mention_type = 'person' AND block_id IS NOT NULL AND char_start IS NOT NULL AND person_id IS NOT NULL),
+u AS (SELECT block_id, char_start, 0 AS side, person_id, NULL AS credit_id FROM m UNION ALL SELECT block_id, char_start, 1, NULL, credit_id FROM c),
+l AS (SELECT *, last_value(person_id IGNORE NULLS) OVER w AS p, last_value(CASE WHEN side = 0 THEN char_start END IGNORE NULLS) OVER w AS from_at FROM u WINDOW w AS (PARTITION BY block_id ORDER BY char_start, side, coalesce(person_id, ''), coalesce(credit_id, 0) ROWS UNBOUNDED PRECEDING))
+SELECT credit_id, p AS person_id, char_start - from_at AS distance FROM l WHERE side = 1""")
+def nearest_preceding(spark: SparkSession, d: str) -> DataFrame:
+    """The person linked nearest before each credit in its block, and how far."""
+    c = table(spark, d, "review_credit", "credit_id", "page_id", "block_id", "char_start", "name_surface").where("block_id is not null and name_surface is not null and char_start is not null").distinct()
+    m = table(spark, d, "review_mention", "block_id", "char_start", "person_id", "mention_type").where("mention_type = 'person' and block_id is not null and char_start is not null and person_id is not null").drop("mention_type").distinct()
+    u = m.withColumn("side", F.lit(0)).unionByName(c.select("block_id", "char_start", "credit_id").withColumn("side", F.lit(1)), allowMissingColumns=True)
+    u = u.withColumn("o1", F.coalesce("person_id", F.lit(""))).withColumn("o2", F.coalesce("credit_id", F.lit(0))).withColumn("at", F.when(F.col("side") == 0, F.col("char_start")))
+    order = ["char_start", "side", "o1", "o2"]
+    near = R.fill_last(R.fill_last(u, ["block_id"], order, "person_id", "p"), ["block_id"], order, "at", "from_")
+    return near.where("side = 1").select("credit_id", F.col("p").alias("person_id"), (F.col("char_start") - F.col("from_")).alias("distance"))
