@@ -205,3 +205,44 @@ def test_claims_over_all_prices(spark, tmp_path):
             used |= {left, right}
             want[left, right] = -score
     assert got == want
+
+
+def test_claims_make_no_pairs(spark, tmp_path):
+    import datetime
+
+    # 225 million pairs of one price, which no task could hold, beside a group of three
+    may, n = datetime.datetime(1997, 5, 3), 15000
+    rows = [((i * 7919) % (2 * n), may, "1-URGENT", "OF"[i % 2], 500.0) for i in range(2 * n)]
+    rows += [(2 * n, may, "2-HIGH", "O", 100.0), (2 * n + 1, may, "2-HIGH", "F", 100.00005), (2 * n + 2, may, "2-HIGH", "F", 60.0), (2 * n + 3, may, "2-HIGH", "P", 100.0)]
+    d = stored(spark, tmp_path, "orders", rows, "o_orderkey long, o_orderdate timestamp_ntz, o_orderpriority string, o_orderstatus string, o_totalprice double")
+    claimed = relational.greedy_claim(spark, d)
+    assert "Join" not in claimed._jdf.queryExecution().toString()
+    left, right = (sorted(r[0] for r in rows[: 2 * n] if r[3] == s) for s in "OF")
+    want = [("1997-05|1-URGENT", a, b, 1.0) for a, b in zip(left, right, strict=True)] + [("1997-05|2-HIGH", 2 * n, 2 * n + 1, 1.0)]
+    assert sorted(map(tuple, claimed.collect())) == sorted(want)
+
+
+def test_closest_claims_equal_those_of_all_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from vellum.operators import matching as M
+
+    rng, prices = random.Random(11), [100.0, 100.00005, 100.0001, 99.9999, 61.0, 60.0, 59.99, 150.0]
+    rows = []
+    for g in range(60):  # ties of value, of rounded score and of key; some without a group or a value
+        odd = [float("nan"), float("inf")] if g % 3 == 0 else []
+        for i in range(rng.randint(1, 14)):
+            value = rng.choice([*prices, *odd, None]) if g % 2 else round(rng.uniform(1000, 1000.02), 4)
+            rows.append((f"g{g}" if g else None, rng.randint(0, 9) if g % 5 == 0 else i * 37 % 101, value, rng.random() < 0.5))
+    df = spark.createDataFrame(rows, "g string, k long, v double, s boolean")
+    left, right = (df.where(t).select("g", F.col("k").alias(k), F.col("v").alias(v)) for t, k, v in (("NOT s", "l", "a"), ("s", "r", "b")))
+    pairs = left.join(right, "g").withColumn("score", M.closeness(F.col("a"), F.col("b"))).where("score >= 0.6")
+    want = M.greedy_claim(pairs, "g", "l", "r", "score")
+    got = M.claim_closest(df, "g", "k", "v", F.col("s"), 0.6)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 100
+    # rows without a key are one each, and come after the others
+    df = spark.createDataFrame([("g", None, 5.0, False), ("g", None, 5.0, False), ("g", 1, 5.0, False), ("g", 2**60 + 1, 5.0, True), ("g", None, 5.0, True)], "g string, k long, v double, s boolean")
+    assert sorted(map(str, M.claim_closest(df, "g", "k", "v", F.col("s"), 0.6).select("l", "r").collect())) == ["Row(l=1, r=1152921504606846977)", "Row(l=None, r=None)"]

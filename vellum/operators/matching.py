@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from decimal import ROUND_HALF_UP, Decimal
+from heapq import heapify, heappop, heappush
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +77,163 @@ def greedy_claim(candidates: DataFrame, group: str, left: str, right: str, score
     return candidates.select(group, left, right, score).groupBy(group).applyInPandas(claim, schema)
 
 
+def closeness(a: Column, b: Column) -> Column:
+    """1 - difference / larger value of two positive numbers, to 6 places."""
+    return F.round(1 - F.abs(a - b) / F.greatest(a, b), 6)
+
+
+def _level(low: float, high: float) -> int:
+    """Millionths of ``closeness``, rounded as Spark does: half up on the shortest decimals."""
+    x = 1 - (high - low) / high
+    y = x * 1e6 + 0.5
+    n = int(y)
+    if 1e-6 < y - n < 1 - 1e-6:
+        return n
+    return int(Decimal(repr(x)).scaleb(6).to_integral_value(ROUND_HALF_UP))
+
+
+def _closest_claims(value: np.ndarray, right: np.ndarray, code: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Positions (left, right) claimed among finite values by level, left code, right code.
+
+    Rows of one value and side are a node; nodes stand in a list by value. Of the rows
+    still free the best pair stands side by side, so a heap of neighbours gives the
+    next level; no free pair has a better one, so what a node meets at it lies around it.
+    """
+    order = np.lexsort((code, right, value))
+    v, r, c = value[order], right[order], code[order].tolist()
+    starts = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (r[1:] != r[:-1])]) if len(v) else np.zeros(0, int)
+    n, head, stop = len(starts), starts.tolist(), [*starts[1:].tolist(), len(v)]
+    val, side = v[starts].tolist(), r[starts].tolist()
+    after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
+    taken: tuple[set, set] = (set(), set())
+    heap = [(-_level(val[i], val[i + 1]), i) for i in range(n - 1) if side[i] != side[i + 1]]
+    heap = [x for x in heap if -x[0] >= least]
+    heapify(heap)
+
+    def first(i: int) -> int:
+        """Lowest free code of a node, or -1, where it leaves the list."""
+        own = taken[side[i]]
+        while head[i] < stop[i]:
+            if c[head[i]] not in own:
+                return c[head[i]]
+            head[i] += 1
+        if alive[i]:
+            alive[i] = False
+            p, q = before[i], after[i]
+            if p >= 0:
+                after[p] = q
+            if q >= 0:
+                before[q] = p
+            if p >= 0 and q >= 0 and side[p] != side[q] and (at := _level(val[p], val[q])) >= least:
+                heappush(heap, (-at, p))
+        return -1
+
+    claims = []
+    while heap:
+        at, live = -heap[0][0], {}
+        while heap and heap[0][0] == -at:
+            i = heappop(heap)[1]
+            if not alive[i] or (j := after[i]) < 0 or side[i] == side[j] or _level(val[i], val[j]) != at:
+                continue
+            if first(i) < 0 or first(j) < 0:
+                continue  # what became neighbours is in the heap
+            # all left nodes up to the next right one meet this right one at this level
+            x, way, y = (j, after, i) if side[i] else (i, before, j)
+            while x >= 0:
+                if not side[x]:
+                    if _level(*sorted((val[x], val[y]))) != at:
+                        break
+                    live[x] = None
+                elif first(x) >= 0:
+                    break
+                x = way[x]
+        ready = [(f, x) for x in live if (f := first(x)) >= 0]
+        heapify(ready)
+        while ready:
+            f, x = heappop(ready)
+            if (now := first(x)) != f:  # the code was claimed from another node
+                if now >= 0:
+                    heappush(ready, (now, x))
+                continue
+            met = []  # (code of the lowest right row met, its node, left node), of all nodes that hold the code
+            while True:
+                low, of = -1, -1
+                for way in (before, after):
+                    y = way[x]
+                    while y >= 0 and (_level(val[x], val[y]) if way is after else _level(val[y], val[x])) >= at:
+                        if side[y] and (g := first(y)) >= 0 and (low < 0 or g < low):
+                            low, of = g, y
+                        y = way[y]
+                if low >= 0:  # else nobody of this node meets anything at this level
+                    met.append((low, of, x))
+                if not ready or ready[0][0] != f:
+                    break
+                x = heappop(ready)[1]
+            if met:
+                low, of, x = min(met)
+                claims.append((int(order[head[x]]), int(order[head[of]])))
+                taken[0].add(f)
+                taken[1].add(low)
+                first(of)
+                for _, _, x in met:
+                    if (now := first(x)) >= 0:
+                        heappush(ready, (now, x))
+    return claims
+
+
+def _nan_claims(value: np.ndarray, right: np.ndarray, code: np.ndarray, claims: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Claims after all others: a value that isn't finite has the score NaN with any
+    value, which passes every floor and comes last, as null."""
+    finite, found, used = np.isfinite(value), [], set()
+    taken = [{code[i] for i, _ in claims}, {code[j] for _, j in claims}]
+    free: list[dict] = [{}, {}]  # by side: code -> row, not finite where it has such a row
+    for i in np.lexsort((finite, code)).tolist():
+        side = int(right[i])
+        if code[i] not in taken[side]:
+            free[side].setdefault(code[i], i)
+    every = deque(free[1].items())
+    odd = deque(x for x in every if not finite[x[1]])
+    for i in free[0].values():
+        among = odd if finite[i] else every
+        while among and among[0][0] in used:
+            among.popleft()
+        if among:
+            used.add(among[0][0])
+            found.append((i, among[0][1]))
+    return found
+
+
+def claim_closest(df: DataFrame, group: str, key: str, value: str, right: Column, least: float) -> DataFrame:
+    """``greedy_claim`` by ``closeness`` of all pairs of a group that reach ``least``
+    (0.5 or more), without making the pairs (J18, X2): (group, l, r, score).
+
+    ``right`` tells right rows from left ones. Values must be positive doubles. A group's rows
+    go to one task, which takes memory in proportion to them; its time grows with the square
+    only of the different values within a millionth of each other.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(value).alias("v"), right.alias("s")).where("g IS NOT NULL AND v IS NOT NULL AND s IS NOT NULL")
+    floor = math.ceil(round(least * 1e6, 3))
+
+    def claim(part: pa.Table) -> pa.Table:
+        part = part.sort_by("k").combine_chunks()  # nulls last
+        k = part["k"]
+        same = np.zeros(len(k), bool)
+        same[1:] = pc.equal(k[1:], k[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+        code = np.cumsum(~same)
+        v, s = part["v"].to_numpy(), part["s"].to_numpy()
+        finite = np.flatnonzero(np.isfinite(v))
+        claims = [(int(finite[i]), int(finite[j])) for i, j in _closest_claims(v[finite], s[finite], code[finite], floor)]
+        if len(finite) < len(v):
+            claims += _nan_claims(v, s, code, claims)
+        at = np.array(claims, int).reshape(-1, 2)
+        a, b = part.take(pa.array(at[:, 0])), part.take(pa.array(at[:, 1]))
+        return pa.table([a["g"], a["k"], b["k"], a["v"], b["v"]], names=["g", "l", "r", "a", "b"])
+
+    types = dict(rows.dtypes)
+    claimed = rows.groupBy("g").applyInArrow(claim, f"g {types['g']}, l {types['k']}, r {types['k']}, a double, b double")
+    return claimed.select(F.col("g").alias(group), "l", "r", F.nanvl(closeness(F.col("a"), F.col("b")), F.lit(None)).alias("score"))
+
+
 def range_lookup(df: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, end: str, how: str = "left") -> DataFrame:
     """Equi-join with a ``between`` residual (J7); the ranges are broadcast if small."""
     inside = F.col(at).between(F.col(start), F.col(end))

@@ -170,11 +170,8 @@ def greedy_claim(spark: SparkSession, d: str) -> DataFrame:
     """Open and finished orders of one month and priority paired best first,
     from all pairs whose prices are at least 0.6 alike (the floor of X2). Prices of
     zero and below are alike to nothing."""
-    o = table(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice").where("o_totalprice > 0").withColumn("group", F.concat_ws("|", F.date_format("o_orderdate", "yyyy-MM"), "o_orderpriority"))
-    a = o.where("o_orderstatus = 'O'").select("group", F.col("o_orderkey").alias("l"), F.col("o_totalprice").alias("pa"))
-    b = o.where("o_orderstatus = 'F'").select("group", F.col("o_orderkey").alias("r"), F.col("o_totalprice").alias("pb"))
-    pairs = a.join(b, "group").withColumn("score", F.round(1 - F.abs(F.col("pa") - F.col("pb")) / F.greatest("pa", "pb"), 6)).where("score >= 0.6")
-    return M.greedy_claim(pairs, "group", "l", "r", "score")
+    o = table(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", "o_totalprice").where("o_totalprice > 0 AND o_orderstatus IN ('O', 'F')").withColumn("group", F.concat_ws("|", F.date_format("o_orderdate", "yyyy-MM"), "o_orderpriority"))
+    return M.claim_closest(o, "group", "o_orderkey", "o_totalprice", F.col("o_orderstatus") == "F", 0.6)
 
 
 @query("""WITH l AS (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS computed FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1), p AS (SELECT o_orderkey, o_totalprice AS printed FROM orders WHERE o_orderstatus <> 'P')
